@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op2_substring
+from . import op2_substring, op3_neardup, op9_lm
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,8 +17,18 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_substring.digest(spark, documents(spark, sf_dir), k=13)
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_neardup.groups(spark, documents(spark, sf_dir), threshold=0.85, k=5)
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_lm.score(spark, documents(spark, sf_dir), order=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op9_lm_scoring": op9_lm_scoring,
 }
 
 ORACLE_SQL: dict[str, str] = {}
