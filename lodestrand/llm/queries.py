@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import op2_substring, op3_neardup, op9_lm
+from . import op2_substring, op3_neardup, op4_langid, op8_quality, op9_lm
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,20 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_neardup.groups(spark, documents(spark, sf_dir), threshold=0.85, k=5)
 
 
+def remainder(n: int) -> Column:
+    """crc32 of the id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_langid.identify(spark, documents(spark, sf_dir), learn=remainder(4) != 2)
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return op8_quality.quality(spark, documents(spark, sf_dir), labels, learn=remainder(5) != 0)
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_lm.score(spark, documents(spark, sf_dir), order=2)
 
@@ -28,6 +43,8 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_language_id": op4_language_id,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_lm_scoring": op9_lm_scoring,
 }
 
