@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op2_substring, op3_neardup, op4_langid, op8_quality, op9_lm
+from . import op2_substring, op3_neardup, op4_langid, op7_kdtree, op8_quality, op9_lm, op10_kdshard
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_langid.identify(spark, documents(spark, sf_dir), learn=remainder(4) != 2)
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_kdtree.top_k(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"), queries=F.col("vec_id") % 50 == 0, k=5)
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return op8_quality.quality(spark, documents(spark, sf_dir), labels, learn=remainder(5) != 0)
@@ -40,12 +44,18 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_lm.score(spark, documents(spark, sf_dir), order=2)
 
 
+def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_kdshard.digest(spark, documents(spark, sf_dir), shards=16)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_language_id": op4_language_id,
+    "op7_exact_topk": op7_exact_topk,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_lm_scoring": op9_lm_scoring,
+    "op10_kd_sharding": op10_kd_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {}
