@@ -7,13 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op2_substring, op3_neardup, op4_langid, op7_kdtree, op8_quality, op9_lm, op10_kdshard
+from . import op1_huffman, op2_substring, op3_neardup, op4_langid, op5_packing, op7_kdtree, op8_quality, op9_lm, op10_kdshard
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_huffman.digest(spark, documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), end=2)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_substring.digest(spark, documents(spark, sf_dir), k=13)
 
@@ -31,6 +42,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_langid.identify(spark, documents(spark, sf_dir), learn=remainder(4) != 2)
 
 
+def op5_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_packing.digest(spark, documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), end=0)
+
+
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_kdtree.top_k(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"), queries=F.col("vec_id") % 50 == 0, k=5)
 
@@ -49,9 +64,11 @@ def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_huffman_tokens": op1_huffman_tokens,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_language_id": op4_language_id,
+    "op5_sequence_packing": op5_sequence_packing,
     "op7_exact_topk": op7_exact_topk,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_lm_scoring": op9_lm_scoring,
