@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_huffman, op2_substring, op3_neardup, op4_langid, op5_packing, op7_kdtree, op8_quality, op9_lm, op10_kdshard
+from . import op1_huffman, op2_substring, op3_neardup, op4_langid, op5_packing, op6_decontaminate, op7_kdtree, op8_quality, op9_lm, op10_kdshard
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +46,11 @@ def op5_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_packing.digest(spark, documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), end=0)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return op6_decontaminate.leaks(spark, documents(spark, sf_dir), items, similarity=0.8)
+
+
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_kdtree.top_k(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"), queries=F.col("vec_id") % 50 == 0, k=5)
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_language_id": op4_language_id,
     "op5_sequence_packing": op5_sequence_packing,
+    "op6_decontamination": op6_decontamination,
     "op7_exact_topk": op7_exact_topk,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_lm_scoring": op9_lm_scoring,
