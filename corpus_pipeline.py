@@ -1,10 +1,64 @@
-"""Stages that turn the documents table into packed training sequences."""
+"""The corpus pipeline: from the documents table to packed training sequences.
+
+Stages work on what the one before kept. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL: str | None = None
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestrand.llm import op2_substring, op3_neardup, op4_langid, op5_packing, op6_decontaminate
+from lodestrand.llm.queries import vocabulary
+from lodestrand.llm.storage import Scratch
+
+#: Similarity of near copies and leaks, and words of a passage that is taken out when it repeats.
+SIMILARITY, PASSAGE_WORDS = 0.8, 50
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the classifier does not reject."""
+    return op4_langid.accepted(spark, docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that with the smallest id."""
+    return op3_neardup.representatives(spark, docs, SIMILARITY)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that a document with a smaller id holds too."""
+    cleaned = op2_substring.remove_repeats(spark, docs, PASSAGE_WORDS)
+    if "n_chars" not in docs.columns:
+        return cleaned
+    return cleaned.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))).select(*docs.columns)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passage."""
+    return op6_decontaminate.without_leaks(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), SIMILARITY)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences of 1024 ids."""
+    return op5_packing.pack(spark, docs, vocabulary("byte_bpe_50k.json"), end=0)
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("benchmark_leaks", benchmark_leaks),
+    ("packing", packing),
+]
+
+ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each written and read again before the next."""
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
+    return docs

@@ -268,3 +268,17 @@ def groups(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, k: int
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     component = F.coalesce("component", "id")
     return out.select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(component != NO_ID, component).alias("component_id"), (F.col("id") == component).alias("kept"))
+
+
+def representatives(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, k: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that stand for their groups, with all their columns, as they are.
+
+    Of rows that repeat an id and its text one stays; rows without an id stay where their group has
+    no other. An id that two different texts share stays or goes with either of them."""
+    found = groups(spark, docs, threshold, k, text=text, doc_id=doc_id).filter("kept").select(F.col("doc_id").alias("kept_id"))
+    found = Scratch(spark, "neardup").write(found, "kept")
+    repeated = not found.groupBy("kept_id").count().filter("count > 1").isEmpty()
+    kept = docs.join(found.distinct(), F.col(doc_id).cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    if repeated:
+        kept = kept.withColumn("__same", F.xxhash64(F.col(text))).dropDuplicates([doc_id, "__same"]).drop("__same")
+    return kept
