@@ -1 +1 @@
-
+"""Column expressions: text, scores and catalogue arithmetic."""
