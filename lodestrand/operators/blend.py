@@ -65,7 +65,7 @@ def sft(chunks: DataFrame, site: str = "this website", summary: str | None = Non
     """Questions, extra rows, small talk and summaries, interleaved; summaries fill what the others leave."""
     order = ["position", "ordinal", "stage", "emit"]
     staged = lambda df: df.withColumns({"stage": F.lit(0), "emit": F.lit(0)})
-    questions = qa.question_rows(chunks, site, int(most * SHARES["qa"])).drop("commands_only")
+    questions = qa.question_rows(chunks, site, int(most * SHARES["qa"])).drop("commands_only").persist()  # read for its size, then for its rows
     talk = staged(small_talk(chunks.sparkSession, site, summary).orderBy("ordinal").limit(max(int(most * SHARES["converse"]), 1)))
     buckets = [questions] + ([staged(extra).limit(most)] if extra is not None else []) + [talk]
     used = sum(b.count() for b in buckets)

@@ -257,8 +257,8 @@ def eval_gate(spark, t):
     return evaluation.gate(shape(F.col("quality"), F.col("quality") == 0), shape(1 - F.col("toxic"), F.col("toxic") == 1))
 
 
-@query(f"""WITH p AS ({FIRST}), r AS (SELECT *, row_number() OVER (ORDER BY conv_id) - 1 AS at, count(*) OVER () AS n FROM p),
-k AS (SELECT * FROM r WHERE at % greatest(1, n // 30) = 0 AND prompt <> '' AND reference <> '' ORDER BY at LIMIT 30) SELECT conv_id, prompt, reference, 'mem-' || (row_number() OVER (ORDER BY at) - 1) AS id FROM k""")
+@query(f"""WITH p AS ({FIRST}), r AS (SELECT *, row_number() OVER (ORDER BY conv_id) - 1 AS spot, count(*) OVER () AS n FROM p),
+k AS (SELECT * FROM r WHERE spot % greatest(1, n // 30) = 0 AND prompt <> '' AND reference <> '' ORDER BY spot LIMIT 30) SELECT conv_id, prompt, reference, 'mem-' || (row_number() OVER (ORDER BY spot) - 1) AS id FROM k""")
 def mem_sample(spark, t):
     return evaluation.stride_sample(blend.first_pair(t("conversations")), ["conv_id"])
 
@@ -305,7 +305,7 @@ def sft_blend(spark, t):
 @query()
 def preference_rows(spark, t):
     kept = corpus.dedup(chunked(t))
-    return blend.preferences(blend.sft(kept, SITE), kept)
+    return blend.preferences(blend.sft(kept, SITE).persist(), kept)
 
 
 TOKENS = "list_filter(string_split_regex(strip_accents(lower({0})), '[^a-z0-9_]+'), lambda x: length(x) BETWEEN 3 AND 23)"
