@@ -181,20 +181,24 @@ SEED, NODE, PATH = 0, 1, 2
 
 
 def merge(kind: int, keys: np.ndarray, group: np.ndarray, vals: list[np.ndarray]) -> np.ndarray:
-    n = len(keys)
-    low, high = np.full(n, 2**63 - 1), np.full(n, -(2**63))
-    np.minimum.at(low, group, vals[0])
+    if kind == NODE:  # edges are unsigned, and their least is 0 where a walk ends
+        vals = [v.view(U) for v in vals]
+
+    def extreme(at: int, values: np.ndarray) -> np.ndarray:
+        limits = np.iinfo(values.dtype)
+        out = np.full(len(keys), limits.min if at else limits.max, values.dtype)
+        (np.maximum if at else np.minimum).at(out, group, values)
+        return out
+
+    low = extreme(0, vals[0])
     if kind == PATH:
         return low
-    np.maximum.at(high, group, vals[1])
-    several = low != high
+    several = low != extreme(1, vals[1])
     if kind == SEED:
         return several.astype(np.int64)
-    low2, high2 = np.full(n, 2**63 - 1), np.full(n, -(2**63))
-    np.minimum.at(low2, group, vals[2])
-    np.maximum.at(high2, group, vals[3])
+    low_out = extreme(0, vals[2])
     # an end (0) or a second edge, in or out, makes the node a cut
-    return (several | (low2 != high2) | (low == 0) | (low2 == 0)).astype(np.int64)
+    return (several | (low_out != extreme(1, vals[3])) | (low == 0) | (low_out == 0)).astype(np.int64)
 
 
 def spans(chunks: DataFrame, scratch: Scratch, k: int, finish: Callable[[Walks, pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
