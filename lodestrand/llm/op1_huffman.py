@@ -124,11 +124,12 @@ def tokenized(docs: DataFrame, path: str, end: int, text: str = "text", doc_id:
     def run(batches):
         encoder = T.encoder(path)
         for batch in batches:
-            for part in pieces(batch, "text", 12 << 20):
+            for part in pieces(batch, "text", T.SLICE):
                 ids, first = T.with_end(*encoder.encode(part.column("text")), end)
                 ids = ids.astype(np.uint32)
                 rows = [(i, int(b - a), squeeze(ids[a:b])) for i, a, b in zip(part.column("doc_id").to_pylist(), first[:-1], first[1:], strict=True)]
                 yield to_batch(rows, STAGED)
+        T.forget(encoder)
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, STAGED)
 

@@ -162,7 +162,7 @@ def staged(docs: DataFrame, path: str, end: int, window: int, text: str, doc_id:
         part = TaskContext.get().partitionId()
         seen, before = np.zeros(window, np.int64), 0
         for batch in batches:
-            for piece in pieces(batch, "text", 12 << 20):
+            for piece in pieces(batch, "text", T.SLICE):
                 ids, first = T.with_end(*encoder.encode(piece.column("text")), end)
                 ids = ids.astype(np.uint32)
                 rows = []
@@ -172,6 +172,7 @@ def staged(docs: DataFrame, path: str, end: int, window: int, text: str, doc_id:
                     seen[tail] += 1
                     before += int(b - a) // window
                 yield to_batch(rows, STAGED)
+        T.forget(encoder)
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, STAGED)
 

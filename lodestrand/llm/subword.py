@@ -24,6 +24,7 @@ from .text import U, pieces, raw, word_hashes, words
 BUCKETS = 1 << 17
 GRAMS = (2, 3, 4)
 SAMPLE = 2400
+SLICE = 1 << 20  # bytes of text that are worked on at once
 REPEATED = 4242  # the bucket of a word that follows itself
 
 
@@ -105,7 +106,7 @@ def labelled_sample(rows: DataFrame, classes: int, sample: int) -> DataFrame:
 def features(rows: DataFrame) -> DataFrame:
     def make(batches):
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", SLICE):
                 runs = list(bucket_runs(part.column("text")))
                 out = []
                 for i, (label, pick) in enumerate(zip(part.column("label").to_pylist(), part.column("pick").to_pylist(), strict=True)):
@@ -191,7 +192,7 @@ def predict(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
         m = shared.value
         names = pa.array([*m.classes, None], pa.string())
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", SLICE):
                 if m.classes:
                     p = m.probabilities(part.column("text"))
                     best = p.argmax(axis=1)

@@ -17,7 +17,8 @@ import pyarrow as pa
 
 from .text import raw
 
-KEPT = 400_000  # pieces that a worker keeps from batch to batch
+KEPT = 150_000  # pieces that a worker keeps from batch to batch
+SLICE = 6 << 20  # bytes of text that are encoded at once
 SIMPLE = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
 
@@ -118,6 +119,12 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def forget(used: Encoder) -> None:
+    """At a task's end: give back what the worker would keep until its next one."""
+    used.known.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def with_end(ids: np.ndarray, first: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Append one id to each text's ids."""
     n = len(first) - 1
