@@ -81,4 +81,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_kd_sharding": op10_kd_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+WORDS = r"list_filter(string_split_regex(coalesce({0}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": f"""WITH w AS (SELECT doc_id, {WORDS.format("text")} AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS o FROM w WHERE len(ws) >= 13),
+g AS (SELECT doc_id, o, array_to_string(ws[o:o + 12], ' ') AS k FROM p),
+m AS (SELECT k, min(doc_id) AS least FROM g GROUP BY k),
+r AS (SELECT DISTINCT doc_id, q FROM (SELECT g.doc_id, unnest(range(o, o + 13)) AS q FROM g JOIN m USING (k) WHERE least < g.doc_id)),
+x AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS q FROM w),
+y AS (SELECT x.doc_id, x.q, word, r.q IS NOT NULL AS gone FROM x LEFT JOIN r ON r.doc_id = x.doc_id AND r.q = x.q),
+z AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS lost, string_agg(word, ' ' ORDER BY q) FILTER (NOT gone) AS kept FROM y GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n, 0) AS n_words, coalesce(lost, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN z ON z.doc_id = w.doc_id""",
+    "op3_minhash_near_dedup": f"""WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format(LOWER)} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, k FROM (SELECT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [len(ws) || ':' || array_to_string(ws, ' ')] ELSE [] END) AS k FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS id, doc_id AS root FROM w UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id WHERE r.root < e.b),
+f AS (SELECT id, min(root) AS component_id FROM r GROUP BY id)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept FROM w JOIN f ON f.id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id""",
+    "op7_exact_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+}
