@@ -93,7 +93,8 @@ def split_by_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
 def request_rows(chunk_id: int, kind: int, keys: np.ndarray, vals: list[np.ndarray], buckets: int) -> list[tuple]:
     """One row for each bucket that gets keys; vals: arrays of 8-byte numbers beside the keys."""
     at = split_by_bucket(keys, buckets)
-    return [(b, chunk_id, kind, keys[lo:hi].tobytes(), squeeze(np.concatenate([v[lo:hi].view(np.int64) for v in vals])) if vals else b"") for b, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)) if hi > lo]
+    # sorted keys go as differences, which have fewer bytes that vary
+    return [(b, chunk_id, kind, squeeze(np.diff(keys[lo:hi], prepend=U(0))), squeeze(np.concatenate([v[lo:hi].view(np.int64) for v in vals])) if vals else b"") for b, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)) if hi > lo]
 
 
 def to_batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -117,7 +118,7 @@ def answer(requests: DataFrame, merge: Callable, width: int) -> DataFrame:
         chunk, bucket = table.column("chunk_id").to_pylist(), table.column("bucket")[0].as_py()
         for kind in np.unique(kinds):
             rows = np.flatnonzero(kinds == kind)
-            each = [np.frombuffer(table.column("keys")[int(r)].as_py(), U) for r in rows]
+            each = [np.cumsum(expand(table.column("keys")[int(r)].as_py(), U), dtype=U) for r in rows]
             size = np.array([len(x) for x in each])
             keys, group = np.unique(np.concatenate(each), return_inverse=True)
             got = [expand(table.column("vals")[int(r)].as_py(), np.int64).reshape(width, -1) for r in rows] if width else []

@@ -88,23 +88,17 @@ class Walks:
         joined = (s[1:] == s[:-1] + 1) & (self.doc[s[1:]] == self.doc[s[:-1]]) if len(s) else np.zeros(0, bool)
         self.begins = np.concatenate([[True], ~joined]) if len(s) else np.zeros(0, bool)
 
-    def node_requests(self) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Distinct nodes with their least and largest edge in and edge out; 0 is an end of a walk."""
+    def node_requests(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct nodes, each with the one pair of edges in and out that it has here; 0 where it has
+        several, or where a walk ends."""
         if not len(self.starts):
-            return np.zeros(0, U), [np.zeros(0, U)] * 4
-        node = self.nodes()
-        edge = self.edge | U(1)
-        before = np.concatenate([[U(0)], edge[:-1]])
-        before[self.begins] = 0
-        # the last node of each walk has no edge out
+            return np.zeros(0, U), np.zeros(0, U)
         last = np.concatenate([self.begins[1:], [True]])
+        before = np.concatenate([[U(0)], self.edge[:-1]])
+        through = np.where(self.begins, U(0), pair(before, self.edge) | U(1))
         tail = self.tails(last)
-        node = np.concatenate([node, tail])
-        into = np.concatenate([before, edge[last]])
-        out = np.concatenate([edge, np.zeros(len(tail), U)])
-        keys, low_in, high_in = extremes(node, into)
-        _, low_out, high_out = extremes(node, out)
-        return keys, [low_in, high_in, low_out, high_out]
+        keys, low, high = extremes(np.concatenate([self.nodes(), tail]), np.concatenate([through, np.zeros(len(tail), U)]))
+        return keys, np.where(low == high, low, U(0))
 
     def nodes(self) -> np.ndarray:
         return mix(grams(self.h, self.k - 1)[self.starts]) if self.k > 1 else np.ones(len(self.starts), U)
@@ -181,7 +175,7 @@ SEED, NODE, PATH = 0, 1, 2
 
 
 def merge(kind: int, keys: np.ndarray, group: np.ndarray, vals: list[np.ndarray]) -> np.ndarray:
-    if kind == NODE:  # edges are unsigned, and their least is 0 where a walk ends
+    if kind == NODE:  # pairs of edges are unsigned; 0, where a walk ends, is their least
         vals = [v.view(U) for v in vals]
 
     def extreme(at: int, values: np.ndarray) -> np.ndarray:
@@ -193,12 +187,9 @@ def merge(kind: int, keys: np.ndarray, group: np.ndarray, vals: list[np.ndarray]
     low = extreme(0, vals[0])
     if kind == PATH:
         return low
-    several = low != extreme(1, vals[1])
-    if kind == SEED:
-        return several.astype(np.int64)
-    low_out = extreme(0, vals[2])
-    # an end (0) or a second edge, in or out, makes the node a cut
-    return (several | (low_out != extreme(1, vals[3])) | (low == 0) | (low_out == 0)).astype(np.int64)
+    # seeds that two documents share; nodes with an end (0) or a second pair of edges, which are cuts
+    several = low != extreme(1, vals[-1])
+    return (several | (low == 0) if kind == NODE else several).astype(np.int64)
 
 
 def spans(chunks: DataFrame, scratch: Scratch, k: int, finish: Callable[[Walks, pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -221,10 +212,10 @@ def spans(chunks: DataFrame, scratch: Scratch, k: int, finish: Callable[[Walks,
     def nodes(chunk, table, got):
         w = walks(table)
         w.mark(X.answers_of(got, SEED))
-        keys, vals = w.node_requests()
-        yield X.to_batch(X.request_rows(chunk, NODE, keys, vals, buckets), X.REQUESTS)
+        keys, through = w.node_requests()
+        yield X.to_batch(X.request_rows(chunk, NODE, keys, [through], buckets), X.REQUESTS)
 
-    cuts = scratch.write(X.answer(X.with_answers(chunks, repeated, nodes, X.REQUESTS), merge, 4), "nodes")
+    cuts = scratch.write(X.answer(X.with_answers(chunks, repeated, nodes, X.REQUESTS), merge, 1), "nodes")
     known = repeated.unionByName(cuts)
     scratch.release()
 
