@@ -7,11 +7,13 @@ union are linked. Equal sets are one vertex, so copies cost one row. Over the di
   that the node chooses, and by a second one with probability 1/threshold - 1. That is
   1/threshold branches on average, so a pair at the threshold is expected to meet in one branch at
   any depth; independent trees are repeated to the target recall.
-* *Nodes* of two or more documents give candidates, in two rounds, so that no node emits all its
-  pairs: first each member with the node's least; the confirmed links are closed to components.
-  Then only nodes that still hold several components are compared exhaustively, across components.
-  Nodes that are too large for that branch further; what cannot be split is compared in blocks.
-* A *sketch* of all minwise hashes drops pairs that are more than five standard deviations below
+* *Nodes* of two or more documents give candidates, in rounds, so that no node emits all its
+  pairs: first each document with the least that it shares a node with, then twice with the partner
+  of another component whose sketch agrees most; confirmed links are closed to components after
+  each round. Only nodes that still hold several components are then compared exhaustively, across
+  components. Nodes that are too large for that branch further; what cannot be split is compared
+  in blocks.
+* A *sketch* of all minwise hashes drops pairs that are more than ``DEVIATIONS`` standard deviations below
   the threshold; every link is then confirmed on the full sets.
 
 Links, labels and fingerprints stay in Spark tables throughout.
@@ -35,10 +37,12 @@ from .exchange import to_batch
 from .storage import Scratch
 from .text import U, grams, mix, pair, pieces, word_hashes, words
 
-COORDINATES = 64
+COORDINATES = 256
+DEVIATIONS = 4.0
 NO_ID = 2**63 - 1
 LEVELS = 3  # levels of a tree between two looks at the nodes' sizes
 MOST_LEVELS = 12
+CLOSING = 2  # rounds of nearest partners
 SMALL = 200  # documents of a node that are compared exhaustively
 
 
@@ -67,15 +71,15 @@ def key_of(s: np.ndarray) -> bytes:
 def minwise(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least hash of the set at each coordinate, in blocks for long texts."""
     low = np.full(len(a), np.iinfo(np.uint32).max, np.uint32)
-    for at in range(0, len(s), 4096):
-        x = (s[at : at + 4096] * a[:, None] + b[:, None]) >> U(32)
-        low = np.minimum(low, x.min(axis=1).astype(np.uint32))
+    s = (s >> U(32)).astype(np.uint32)
+    for at in range(0, len(s), 512):
+        low = np.minimum(low, (s[at : at + 512] * a[:, None] + b[:, None]).min(axis=1))
     return low
 
 
 def coordinates() -> tuple[np.ndarray, np.ndarray]:
     at = np.arange(COORDINATES, dtype=U)
-    return mix(at + U(7)) | U(1), mix(at + U(1007))
+    return (mix(at + U(7)) | U(1)).astype(np.uint32), mix(at + U(1007)).astype(np.uint32)
 
 
 SIGNED = "id long, n long, key binary, sketch binary"
@@ -128,9 +132,14 @@ def branch(rows: DataFrame, threshold: float, trees: int = 0, levels: int = LEVE
     return rows.mapInArrow(expand, "node long, key binary")
 
 
+def least_agreement(threshold: float) -> float:
+    """Coordinates at which the sketches of a link agree, but for a chance of a few in a hundred thousand."""
+    return COORDINATES * threshold - DEVIATIONS * math.sqrt(COORDINATES * threshold * (1 - threshold))
+
+
 def likely(pairs: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b, n_a, n_b, s_a, s_b) whose sketches do not rule the link out."""
-    least = COORDINATES * threshold - 5 * math.sqrt(COORDINATES * threshold * (1 - threshold))
+    least = least_agreement(threshold)
 
     def keep(batches):
         for batch in batches:
@@ -187,9 +196,10 @@ def sized(nodes: DataFrame) -> DataFrame:
     return nodes.join(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "node")
 
 
-def across(rows: DataFrame, groups: list[str], threshold: float) -> DataFrame:
-    """Pairs across components within each group of at most a few hundred rows."""
-    least = COORDINATES * threshold - 5 * math.sqrt(COORDINATES * threshold * (1 - threshold))
+def across(rows: DataFrame, groups: list[str], threshold: float, nearest: bool = False) -> DataFrame:
+    """Likely pairs across components within each group of at most a few hundred rows: all of them,
+    or for each row only the one whose sketch agrees most."""
+    least = least_agreement(threshold)
 
     def compare(t: pa.Table) -> pa.Table:
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint32).reshape(-1, COORDINATES)
@@ -197,9 +207,14 @@ def across(rows: DataFrame, groups: list[str], threshold: float) -> DataFrame:
         n, key = np.asarray(t.column("n")), t.column("key").to_pylist()
         out = []
         for i in range(len(key)):
-            ok = ((sketch[i + 1 :] == sketch[i]).sum(axis=1) >= least) & (label[i + 1 :] != label[i])
-            ok &= np.minimum(n[i + 1 :], n[i]) >= threshold * np.maximum(n[i + 1 :], n[i]) - 1e-9
-            out += [(min(key[i], key[j]), max(key[i], key[j])) for j in (i + 1 + np.flatnonzero(ok)).tolist()]
+            rest = slice(0 if nearest else i + 1, None)
+            agree = (sketch[rest] == sketch[i]).sum(axis=1)
+            ok = (agree >= least) & (label[rest] != label[i])
+            ok &= np.minimum(n[rest], n[i]) >= threshold * np.maximum(n[rest], n[i]) - 1e-9
+            at = np.flatnonzero(ok) + rest.start
+            if nearest:
+                at = at[agree[at] == agree[at].max()][:1] if len(at) else at
+            out += [(min(key[i], key[j]), max(key[i], key[j])) for j in at.tolist()]
         return pa.Table.from_batches([to_batch(out, "a binary, b binary")])
 
     return rows.select(*groups, "key", "n", "sketch", "label").groupBy(*groups).applyInArrow(compare, "a binary, b binary")
@@ -224,19 +239,36 @@ def groups(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, k: int
 
     nodes = scratch.write(sized(branch(sets.select("key", "sketch"), threshold, tree_count(threshold, recall)).distinct()), "nodes")
     side = lambda c: sets.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
-    stars = nodes.join(nodes.groupBy("node").agg(F.min("key").alias("a")), "node").filter("key != a").select("a", F.col("key").alias("b")).distinct()
+    # one star edge a document: to the least of all documents that it shares a node with
+    stars = nodes.join(nodes.groupBy("node").agg(F.min("key").alias("a")), "node").groupBy(F.col("key").alias("b")).agg(F.min("a").alias("a")).filter("a != b")
     pairs = scratch.write(likely(stars.join(side("a"), "a").join(side("b"), "b"), threshold), "stars")
     links = scratch.write(confirmed(pairs, sets, docs, k, threshold, text, doc_id, scratch), "links")
     labels = components(links, scratch)
     scratch.release()
 
-    # nodes that hold documents of several components; too large ones branch further
+    def mixed(rows: DataFrame) -> DataFrame:
+        """The rows of nodes that still hold documents of several components."""
+        named = rows.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+        several = named.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("node")
+        return scratch.write(named.join(several, "node").join(sets.select("key", "n", "sketch"), "key"), "mixed")
+
+    # each document with its likeliest partner of another component, as in Boruvka's trees: components
+    # of near copies close in a few rounds, before all pairs of what is left are looked at
+    for _ in range(CLOSING):
+        parts = mixed(nodes).withColumn("part", F.pmod(F.xxhash64("key", "node"), F.ceil(F.col("size") / SMALL)))
+        near = scratch.write(across(parts, ["node", "part"], threshold, nearest=True).distinct(), "nearest")
+        new = scratch.write(confirmed(near, sets, docs, k, threshold, text, doc_id, scratch), "links")
+        if new.isEmpty():
+            break
+        links = links.union(new)
+        labels = components(links, scratch)
+    scratch.release()
+
+    # then all likely pairs across components; too large nodes branch further
     level, found = LEVELS, []
     rows = nodes
     while True:
-        named = rows.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-        mixed = named.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("node")
-        held = scratch.write(named.join(mixed, "node").join(sets.select("key", "n", "sketch"), "key"), "mixed")
+        held = mixed(rows)
         found.append(across(held.filter(F.col("size") <= SMALL), ["node"], threshold))
         large = held.filter(F.col("size") > SMALL)
         if large.isEmpty():
@@ -256,7 +288,7 @@ def groups(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, k: int
         more = more.union(x)
     more = scratch.write(more.distinct(), "across")
     if not more.isEmpty():
-        links = links.union(confirmed(more, sets, docs, k, threshold, text, doc_id, scratch))
+        links = links.union(scratch.write(confirmed(more, sets, docs, k, threshold, text, doc_id, scratch), "links"))
         labels = components(links, scratch)
 
     # the least id of each component, for all its keys
