@@ -7,7 +7,7 @@ from dataclasses import asdict, dataclass, field, fields, replace
 from pathlib import Path
 
 #: Names of settings files, in the order in which they are looked for.
-NAMES = ("finetune.config.json", "finetune.json")
+NAMES = ("lodestrand.config.json", "lodestrand.json")
 METHODS, BACKENDS = ("sft", "dpo", "grpo"), ("auto", "cuda", "mlx")
 
 
@@ -15,7 +15,7 @@ METHODS, BACKENDS = ("sft", "dpo", "grpo"), ("auto", "cuda", "mlx")
 class Settings:
     site: str = "this website"
     input: str = "docs"
-    output: str = ".finetune"
+    output: str = ".lodestrand"
     method: str = "sft"
     backend: str = "auto"
     max_chars: int = 2000
