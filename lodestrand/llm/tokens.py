@@ -17,8 +17,8 @@ import pyarrow as pa
 
 from .text import raw
 
-KEPT = 150_000  # pieces that a worker keeps from batch to batch
-SLICE = 6 << 20  # bytes of text that are encoded at once
+KEPT = 400_000  # pieces that a worker keeps from batch to batch
+SLICE = 12 << 20  # bytes of text that are encoded at once
 SIMPLE = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
 
