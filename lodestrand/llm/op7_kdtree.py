@@ -11,7 +11,7 @@ there is where the search of all other shards starts.
 Queries are a stated set, cut into blocks of ``BLOCK``; a block meets each shard once.
 
 Components become floor(256 * x). Scores are exact integers: sums beyond 2**53 are made with
-Python's whole numbers. Vectors are compared with those of the same length only. Vectors that are
+Python's whole numbers, and end at the limits of a long. Vectors are compared with those of the same length only. Vectors that are
 null, empty or hold null or non-finite components take no part, nor do rows whose id is null;
 rows that repeat an id and its vector count once; no row with a query's id is its candidate.
 Ties go to the smaller id. Extra columns are ignored.
@@ -138,7 +138,7 @@ class Search:
                 found = zip(score[near].tolist(), (-ids[near]).tolist(), strict=True)
             else:
                 q = [int(x) for x in query]
-                found = [(sum(a * int(b) for a, b in zip(q, v, strict=True)), -int(i)) for v, i in zip(self.vectors[rows], ids, strict=True) if i != own]
+                found = [(min(max(sum(a * int(b) for a, b in zip(q, v, strict=True)), -(2**63)), 2**63 - 1), -int(i)) for v, i in zip(self.vectors[rows], ids, strict=True) if i != own]
             for hit in found:
                 if hit[0] < floor:
                     continue
