@@ -26,6 +26,7 @@ BUCKET_KEYS = 2 << 20
 CHUNKS = "chunk_id long, n_rows long, n_words long, payload binary"
 REQUESTS = "bucket int, chunk_id long, kind int, keys binary, vals binary"
 ANSWERS = "chunk_id long, bucket int, kind int, answer binary"
+ANSWERED = "chunk_id long, payload binary, answers binary"
 
 
 def pack(table: pa.RecordBatch | pa.Table) -> bytes:
@@ -149,3 +150,24 @@ def with_answers(chunks: DataFrame, answers: DataFrame, use: Callable[[int, pa.T
         return pa.Table.from_batches(got) if got else pa.Table.from_batches([to_batch([], schema)])
 
     return chunks.select("chunk_id", "payload").groupBy("chunk_id").cogroup(answers.filter("chunk_id >= 0").groupBy("chunk_id")).applyInArrow(apply, schema)
+
+
+def answered(chunks: DataFrame, answers: DataFrame) -> DataFrame:
+    """Each chunk beside its answers in one row, for operators that pass over both more than once."""
+
+    def put(left: pa.Table, right: pa.Table) -> pa.Table:
+        own = pack(right.select(["bucket", "kind", "answer"]))
+        return pa.Table.from_batches([to_batch([(c, p, own) for c, p in zip(left.column("chunk_id").to_pylist(), left.column("payload").to_pylist(), strict=True)], ANSWERED)])
+
+    return chunks.select("chunk_id", "payload").groupBy("chunk_id").cogroup(answers.filter("chunk_id >= 0").groupBy("chunk_id")).applyInArrow(put, ANSWERED)
+
+
+def over_answered(rows: DataFrame, use: Callable[[int, pa.Table, pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``use(chunk_id, documents, answers)`` on each row of what ``answered`` gave."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                yield from use(b.column("chunk_id")[i].as_py(), unpack(b.column("payload")[i].as_py()), unpack(b.column("answers")[i].as_py()))
+
+    return rows.mapInArrow(apply, schema)

@@ -147,9 +147,14 @@ def score(spark: SparkSession, docs: DataFrame, order: int = 2, text: str = "tex
                 yield X.to_batch(Tokens(X.unpack(payload.as_py()), order, "text").requests(chunk, buckets), X.REQUESTS)
 
     known = scratch.write(X.answer(chunks.select("chunk_id", "payload").mapInArrow(ask, X.REQUESTS), merge, 1), "counts")
-    scratch.release()
+    scratch.release(2)
     totals = [np.frombuffer(r[0], np.int64) for r in known.filter("chunk_id = -2").select("answer").collect()]
     n, v = (int(sum(t[i] for t in totals)) for i in (0, 1))
+    # both passes below read chunks and answers side by side, so that those are moved once
+    side = scratch.write(X.answered(chunks, known), "answered")
+    scratch.drop(chunks)
+    scratch.drop(known)
+    scratch.release(2)
 
     def cells(chunk, table, got):
         t = Tokens(table, order, "text")
@@ -162,10 +167,11 @@ def score(spark: SparkSession, docs: DataFrame, order: int = 2, text: str = "tex
         bucket = bucket_of({m: np.maximum(c - 1, 0) for m, c in context.items()}, order)
         if order == 1:
             bucket = np.zeros(len(base), np.int64)
-        found, size = np.unique(np.stack([bucket[t.train], code[t.train]]), axis=1, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(size, pa.float64())], names=["bucket", "code", "n"])
+        found, size = np.unique((bucket * BINS ** (order - 1) + code)[t.train], return_counts=True)
+        bucket, code = np.divmod(found, BINS ** (order - 1))
+        yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(code, pa.int64()), pa.array(size, pa.float64())], names=["bucket", "code", "n"])
 
-    seen = X.with_answers(chunks, known, cells, CELLS).groupBy("bucket", "code").agg(F.sum("n").alias("n"))
+    seen = X.over_answered(side, cells, CELLS).groupBy("bucket", "code").agg(F.sum("n").alias("n"))
     weights = learn_weights([tuple(r) for r in seen.collect()], order)
     scratch.release()
 
@@ -183,4 +189,4 @@ def score(spark: SparkSession, docs: DataFrame, order: int = 2, text: str = "tex
             names=[x.split()[0] for x in SCORES.split(", ")],
         )
 
-    return X.with_answers(chunks, known, finish, SCORES)
+    return X.over_answered(side, finish, SCORES)

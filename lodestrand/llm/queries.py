@@ -61,7 +61,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op9_lm.score(spark, documents(spark, sf_dir), order=2)
+    return op9_lm.score(spark, documents(spark, sf_dir), order=3)
 
 
 def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

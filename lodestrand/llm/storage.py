@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,7 +51,11 @@ class Scratch:
                 where = jvm.org.apache.hadoop.fs.Path(path)
                 where.getFileSystem(conf).delete(where, True)
 
-    def release(self) -> None:
-        """Let Spark remove shuffle files of finished phases now, not at its next collection."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+    def release(self, rounds: int = 1) -> None:
+        """Let Spark remove shuffle files of finished phases now, not at its next collection. The
+        files of the phase that has just ended go in the second round."""
+        for _ in range(rounds):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            if rounds > 1:
+                time.sleep(0.5)

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrand.llm import exchange, op1_huffman, op2_substring, op3_neardup, op4_langid, op5_packing, op6_decontaminate, op7_kdtree, op8_quality, op9_lm, op10_kdshard
-from lodestrand.llm.queries import vocabulary
+from lodestrand.llm.queries import QUERIES, vocabulary
 from lodestrand.llm.text import grams, word_hashes, words
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -298,6 +298,16 @@ def test_op9_weights_come_from_held_out_counts():
     assert sure[0] > 0.8 > 0.2 > unsure[0] and abs(sure.sum() - 1) < 1e-9
 
 
+def test_op9_query_uses_two_words_of_context(spark, tmp_path):
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    learn, (good, bad) = [i for i in range(1000) if not held(i)][:200], [i for i in range(1000) if held(i)][:2]
+    # alike in unigrams and bigrams: only the word before the last one tells what follows
+    rows = [(i, "left middle one" if k % 2 else "right middle two") for k, i in enumerate(learn)] + [(good, "left middle one"), (bad, "left middle two")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["score"] for r in QUERIES["op9_lm_scoring"](spark, str(tmp_path)).collect()}
+    assert got[good] - got[bad] > 0.5
+
+
 @pytest.mark.parametrize("shards", [1, 5, 16])
 def test_op10_sizes_are_even(spark, docs, empty, shards):
     got = op10_kdshard.digest(spark, docs, shards).collect()
