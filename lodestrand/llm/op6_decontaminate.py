@@ -2,7 +2,8 @@
 
 An item leaks into a document when some stretch of the document's words is within
 floor((1 - similarity) * L) word edits of the item's L words (A-Z lower-cased, split at white
-space). Items of more than ``LONGEST`` words are several passages, each of which can leak.
+space). Items of more than ``LONGEST`` words are compared whole, and besides are several passages
+of that size, each of which can leak alone; the whole item has the number behind its passages'.
 
 * *Where to look*: with t edits among L words, some run of ceil((L - t) / (t + 1)) words of the
   passage is intact. Item-sized windows are laid wherever a document holds such a run of a passage,
@@ -13,6 +14,8 @@ space). Items of more than ``LONGEST`` words are several passages, each of which
 * *LSH*: a table samples ``POSITIONS`` places of a walk; a window is a candidate where any of
   ``TABLES`` samples of ``WALKS`` walks equals the passage's.
 * *Verification*: the exact edit distance, with free ends around the window, decides.
+* *Whole long items* skip the walks, which drift apart over many edits: windows that begin within t
+  words of each other are laid as one, and those that hold L - t of the item's words are verified.
 
 The benchmark goes to the workers in blocks of at most ``ITEM_BYTES``; documents are never joined.
 
@@ -37,6 +40,8 @@ from .text import U, grams, mix, pieces, word_hashes, words
 SHORTEST, LONGEST = 5, 64
 WALKS, TABLES, POSITIONS = 6, 16, 2
 ITEM_BYTES = 16 << 20
+PAIRS = 1 << 22  # places where a document and the passages share a run, looked at at once
+CELLS = 1 << 18  # words of windows of whole items, verified at once
 PAD = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -60,6 +65,8 @@ class Passages:
             else:  # whole passages; the last one ends with the item
                 starts, size = sorted({*range(a, b - LONGEST + 1, LONGEST), b - LONGEST}), LONGEST
             self.rows += [(item, i, h[s : s + size]) for i, s in enumerate(starts)]
+            if b - a > LONGEST:
+                self.rows.append((item, len(starts), h[a:b]))
         self.size = np.array([len(r[2]) for r in self.rows], np.int64)
         self.most = np.array([edits(int(n), similarity) for n in self.size], np.int64)
         self.run = -(-(self.size - self.most) // (self.most + 1))
@@ -71,7 +78,12 @@ class Passages:
             of.sort()
             keys = np.array([x[0] for x in of], U)
             self.seeds[q] = keys, np.array([x[1] for x in of], np.int64), np.array([x[2] for x in of], np.int64)
-        self.sketch = self.tables(self.flat, self.first[:-1], self.size)
+        self.whole = self.size > LONGEST
+        # of a whole long item, windows that begin in the same stretch of so many words are one
+        self.stretch = np.where(self.whole, np.maximum(self.most, 1), 1)
+        short = ~self.whole
+        self.sketch = np.zeros((len(self.rows), WALKS * TABLES), U)
+        self.sketch[short] = self.tables(self.flat, self.first[:-1][short], self.size[short])
 
     def tables(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """LSH keys of windows flat[start:start+size]: a column each of WALKS * TABLES."""
@@ -104,10 +116,14 @@ class Passages:
             lo, hi = np.searchsorted(keys, g, "left"), np.searchsorted(keys, g, "right")
             at = np.flatnonzero(hi > lo)
             at = at[doc[at] == doc[at + q - 1]]
-            many = (hi - lo)[at]
-            ends = np.cumsum(many)
-            pick = np.repeat(lo[at] - ends + many, many) + np.arange(int(ends[-1]) if len(ends) else 0)
-            found.append(np.stack([np.repeat(doc[at], many), passage[pick], np.repeat(at, many) - offset[pick]]))
+            block = np.cumsum((hi - lo)[at]) // PAIRS
+            for at in np.split(at, np.flatnonzero(np.diff(block)) + 1):
+                many = (hi - lo)[at]
+                ends = np.cumsum(many)
+                pick = np.repeat(lo[at] - ends + many, many) + np.arange(int(ends[-1]) if len(ends) else 0)
+                d, p = np.repeat(doc[at], many), passage[pick]
+                start = np.repeat(at, many) - offset[pick] - first[d]
+                found.append(np.unique(np.stack([d, p, first[d] + start // self.stretch[p] * self.stretch[p]]), axis=1))
         every = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((3, 0), np.int64)
         return every[0], every[1], every[2]
 
@@ -117,6 +133,18 @@ class Passages:
             return []
         doc, passage, start = self.windows(h, first)
         best: dict[tuple[int, int], tuple] = {}
+        long = self.whole[passage]
+        for n in np.unique(self.size[passage[long]]).tolist():
+            of = np.flatnonzero(self.size[passage] == n)
+            each = max(1, CELLS // (2 * n))
+            for part in range(0, len(of), each):
+                d, p, s = (x[of[part : part + each]] for x in (doc, passage, start))
+                held = np.flatnonzero([self.holds(h, first, *x) for x in zip(d, p, s, strict=True)])
+                d, p, s = d[held], p[held], s[held]
+                for i, hit in enumerate(self.verify(h, first, d, p, s, n)):
+                    if hit is not None and hit < best.get((d[i], p[i]), (1 << 30,)):
+                        best[d[i], p[i]] = hit
+        doc, passage, start = doc[~long], passage[~long], start[~long]
         for part in range(0, len(doc), 4096):
             d, p, s = (x[part : part + 4096] for x in (doc, passage, start))
             begin = np.maximum(s, first[d])
@@ -132,13 +160,18 @@ class Passages:
                         best[d[i], p[i]] = hit
         return [(int(d), int(p), begin, end, cost) for (d, p), (cost, begin, end) in sorted(best.items())]
 
+    def holds(self, h: np.ndarray, first: np.ndarray, d: int, p: int, s: int) -> bool:
+        """Whether the text around a window has as many of the passage's words as a leak leaves intact."""
+        text = h[max(s - self.most[p], first[d]) : min(s + self.stretch[p] + self.size[p] + self.most[p], first[d + 1])]
+        return np.isin(self.rows[p][2], text).sum() >= self.size[p] - self.most[p]
+
     def verify(self, h: np.ndarray, first: np.ndarray, d: np.ndarray, p: np.ndarray, s: np.ndarray, n: int) -> list[tuple[int, int, int] | None]:
         """Exact edit distances of passages of n words to the text around their windows."""
         if not len(d):
             return []
         slack = int(self.most[p].max())
         low = s - slack
-        at = low[:, None] + np.arange(n + 2 * slack)
+        at = low[:, None] + np.arange(n + 2 * slack + int(self.stretch[p].max()) - 1)
         inside = (at >= first[d][:, None]) & (at < first[d + 1][:, None])
         text = np.where(inside, h[np.clip(at, 0, len(h) - 1)], PAD)
         item = self.flat[self.first[p][:, None] + np.arange(n)]

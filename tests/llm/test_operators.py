@@ -226,6 +226,42 @@ def test_op6_finds_edited_passages(spark):
     assert op6_decontaminate.leaks(spark, docs.limit(0), bench).collect() == [] == op6_decontaminate.leaks(spark, docs, bench.limit(0)).collect()
 
 
+@pytest.mark.parametrize("size", [65, 72, 80, 100, 300])
+def test_op6_long_items_are_compared_whole(spark, size):
+    rnd = random.Random(size)
+    vocab = [language(rnd, "abcdefghij", 1) for _ in range(500)]
+    item, t = rnd.choices(vocab, k=size), size // 5
+    fresh = iter(f"new{i}" for i in range(10_000))
+    make = lambda n: [next(fresh) for _ in range(n)]
+    rows, distance = [], {}
+    for k, edits in enumerate((t, t, t, t + 1) * 2):
+        middle = (size - edits) // 2
+        if k % 4 == 0:  # rewritten where the passages overlap
+            w = item[:middle] + make(edits) + item[middle + edits :]
+        elif k % 4 == 1:  # cut out there
+            w = item[:middle] + item[middle + edits :]
+        elif k % 4 == 2:  # words put between, all over the item
+            w = list(item)
+            for p in sorted(rnd.sample(range(1, size), edits), reverse=True):
+                w[p:p] = make(1)
+        else:  # one edit too many, all over the item
+            w = list(item)
+            for p in rnd.sample(range(1, size - 1), edits):
+                w[p] = next(fresh)
+        rows.append((k, " ".join([*make(50 if k < 4 else 0), *w, *make(k)])))
+        if edits == t:
+            distance[k] = t
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    found = op6_decontaminate.leaks(spark, docs, bench).collect()
+    whole = [r for r in found if r["item_words"] == size]
+    assert {r["doc_id"]: r["distance"] for r in whole} == distance and len(whole) == len(distance)
+    texts = dict(rows)
+    assert all(levenshtein(item, split(texts[r["doc_id"]])[r["start_word"] : r["end_word"]]) == t for r in whole)
+    kept = {r["doc_id"] for r in op6_decontaminate.without_leaks(spark, docs, bench).collect()}
+    assert kept == set(range(len(rows))) - {r["doc_id"] for r in found}
+
+
 def levenshtein(item, text):
     row = [0] * (len(text) + 1)
     for i, x in enumerate(item):
