@@ -2,8 +2,12 @@
 
 The model learns from text and language of the rows given for training and sees the text alone
 when it predicts. A text without any letter (or null) is ``und``. A prediction is *rejected* when
-it is ``und`` or its calibrated chance is below the threshold: the largest one, up to one and a
-half times a guess among the classes, that rejects at most one in a thousand of the sampled rows that were classified rightly.
+it is ``und`` or its calibrated chance is below a threshold that the rows set aside for calibration
+give. Below ``EVEN`` the model itself holds the answer for wrong more likely than right. Above, the
+threshold is the chance that all but ``WRONG`` of the wrong answers stay below, as far as no more
+than ``LOST`` of the right ones do. Wrong answers are those to rows set aside of which the model gets
+the language wrong, to all of them with their own language taken from the model (a language it never
+learned), and to junk, texts as long as they are of features dealt at random.
 
 Defined results: without any training rows every text is ``und`` with score 0; empty tables give
 empty results; whole texts are scored whatever their length; extra columns are ignored.
@@ -22,20 +26,25 @@ from .storage import Scratch
 from .text import pieces
 
 UNKNOWN = "und"
-LOST = 0.001
+EVEN, WRONG, LOST = 0.5, 0.05, 0.01
 
 
 def threshold(model: subword.Model, sample: list) -> float:
-    if not sample:
-        return 0.0
-    chances = []
-    for label, _, buckets, counts in sample:
+    rng = np.random.default_rng(11)
+    right, wrong = [], []
+    for label, _, buckets, counts in sample[4::5]:  # those that training sets aside
         at, n = np.frombuffer(buckets, np.int32), np.frombuffer(counts, np.float32)
-        z = (n / max(n.sum(), 1)) @ model.table[at] + model.bias
-        p = subword.softmax((z * model.scale + model.shift)[None])[0]
-        if model.classes[int(p.argmax())] == label:
-            chances.append(p.max())
-    return float(min(1.5 / max(len(model.classes), 3), np.quantile(chances, LOST, method="lower"))) if chances else 1.0
+        share = n / max(n.sum(), 1)
+        chances = lambda at, share=share: (share @ model.table[at] + model.bias) * model.scale + model.shift
+        own = model.classes.index(label)
+        z = chances(at)
+        (right if z.argmax() == own else wrong).append(subword.softmax(z[None]).max())
+        if len(model.classes) > 2:
+            wrong.append(subword.softmax(np.delete(z, own)[None]).max())
+        if len(model.classes) > 1 and len(at):
+            wrong.append(subword.softmax(chances(rng.integers(0, subword.BUCKETS, len(at)))[None]).max())
+    found = [np.quantile(x, q, method=m) for x, q, m in ((wrong, 1 - WRONG, "higher"), (right, LOST, "lower")) if x]
+    return float(max(EVEN, min(found, default=EVEN)))
 
 
 def identify(spark: SparkSession, docs: DataFrame, learn: Column | None = None, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", sample: int = subword.SAMPLE) -> DataFrame:

@@ -173,6 +173,23 @@ def test_op4_learns_and_rejects(spark):
     assert op4_langid.identify(spark, df.limit(0)).collect() == [] == op4_langid.accepted(spark, df.limit(0)).collect()
 
 
+def test_op4_rejects_what_it_did_not_learn(spark):
+    rnd = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    vocab = {k: ["".join(rnd.choices(rnd.sample(letters, 12), k=rnd.randint(3, 8))) for _ in range(80)] for k in ("one", "two", "three", "four", "unlearned")}
+    text = lambda k: " ".join(rnd.choices(vocab[k], k=rnd.randint(10, 60)))
+    learned = [k for k in vocab if k != "unlearned"]
+    rows = [(i, text(k := learned[i % 4]), k) for i in range(400)]
+    rows += [(1000 + i, text("unlearned"), None) for i in range(100)]
+    rows += [(2000 + i, language(rnd, letters, rnd.randint(10, 60)), None) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = op4_langid.identify(spark, df, learn=F.crc32(F.col("doc_id").cast("string")) % 4 != 2).collect()
+    share = lambda lo, hi: sum(r["rejected"] for r in got if lo <= r["doc_id"] < hi) / sum(lo <= r["doc_id"] < hi for r in got)
+    assert share(0, 400) <= 0.03 and share(1000, 1100) >= 0.9 and share(2000, 2100) >= 0.9
+    kept = [r["doc_id"] for r in op4_langid.accepted(spark, df).collect()]
+    assert sum(i < 400 for i in kept) >= 388 and sum(i >= 1000 for i in kept) <= 20
+
+
 def test_op5_pieces(spark, docs, empty):
     from tokenizers import Tokenizer
 
