@@ -172,7 +172,7 @@ def staged(docs: DataFrame, path: str, end: int, window: int, text: str, doc_id:
                     seen[tail] += 1
                     before += int(b - a) // window
                 yield to_batch(rows, STAGED)
-        T.forget(encoder)
+        T.tidy()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, STAGED)
 

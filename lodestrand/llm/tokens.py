@@ -1,29 +1,34 @@
 """Token ids of whole texts with a public tokenizer, encoding each distinct piece once.
 
-A text is cut before white space that follows something else; no pre-token of the two byte-level
-BPE vocabularies crosses such a place, so the ids of a text are the ids of its pieces in order.
-Pieces repeat, so a batch costs one encoding a distinct piece. A piece of Latin letters, with
-punctuation behind, is given to the vocabulary's BPE model directly; all others take the
-tokenizer's whole way. Special tokens' strings in a text are ordinary text.
+A text is cut before white space that follows something else, before marks behind a Latin letter,
+and around strings of special tokens; no pre-token of the two byte-level BPE vocabularies crosses
+such a place, so the ids of a text are the ids of its pieces in order, as the tokenizer's own
+``encode`` of the whole text gives them (special tokens' strings included). Pieces repeat, so they
+are encoded once a worker, as long as its bounded cache holds them. A piece of Latin letters
+is given to the vocabulary's BPE model directly; others take the tokenizer's whole way.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 
 from .text import raw
 
-KEPT = 400_000  # pieces that a worker keeps from batch to batch
+GENERATION = 300_000  # pieces of a cache's generation; a worker keeps two, about 200 bytes a piece
+LONGEST_KEPT = 64  # bytes; longer pieces are encoded anew
 SLICE = 12 << 20  # bytes of text that are encoded at once
-SIMPLE = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+SIMPLE = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)")
+MARK = np.isin(np.arange(256), list(b"!\"#$%&()*+,-./:;?@[\\]^_`{|}~"))  # no apostrophe, and none that composes with what follows
 
 
-def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Bytes where a piece begins: texts' beginnings, and white space behind other characters."""
+def cuts(data: np.ndarray, offsets: np.ndarray, whole: Iterable[tuple[int, int]] = ()) -> np.ndarray:
+    """Bytes where a piece begins; ``whole``: stretches that are pieces of their own."""
     blank = (data == 32) | ((data >= 9) & (data <= 13))
     at = np.flatnonzero(blank[1:] & ~blank[:-1]) + 1
     before = data[at - 1]
@@ -35,6 +40,15 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     at = at[~unsure]
     begins = np.zeros(len(data), bool)
     begins[at] = True
+    # marks behind a letter: of ASCII, or of two bytes from 0xC3 on
+    mark = np.flatnonzero(MARK[data])
+    mark = mark[mark > 0]
+    last, lead = data[mark - 1], data[np.maximum(mark - 2, 0)]
+    letter = ((last | 32) - np.uint8(97) < 26) | ((lead == 0xC3) & (mark > 1) & (last != 0x97) & (last != 0xB7) & (last >= 128))
+    begins[mark[letter]] = True
+    for a, b in whole:
+        begins[a : b + 1] = False
+        begins[[a, min(b, len(data) - 1)]] = True, b < len(data)
     begins[offsets[:-1][np.diff(offsets) > 0]] = True
     return np.flatnonzero(begins)
 
@@ -47,7 +61,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         # whether words carry the blank before them, and letters their case, is read off the vocabulary
         self.blank = len(self.tokenizer.encode(" a", add_special_tokens=False).ids) and self.tokenizer.encode(" a", add_special_tokens=False).tokens[0] != self.tokenizer.encode("a", add_special_tokens=False).tokens[0]
@@ -63,19 +76,21 @@ class Encoder:
                 shift += 1
         self.spelling = {c: "".join(spelled[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
         self.space, self.line = spelled[32], spelled[10]
-        self.known: dict[str, list[int]] = {}
+        strings = sorted((t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.special = re.compile(b"|".join(map(re.escape, strings))) if strings else None
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def _model(self, word: str) -> list[int]:
-        ids = self.known.get(word)
-        if ids is None:
-            ids = self.known[word] = [t.id for t in self.model.tokenize(word)]
-        return ids
+        return [t.id for t in self.model.tokenize(word)]
 
-    def piece(self, text: str) -> list[int]:
+    def piece(self, text: bytes) -> bytes:
+        """The ids of one piece, as 32-bit numbers."""
+        text = text.decode("utf-8")
         m = SIMPLE.fullmatch(text)
         if m is None:
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        lead, word, marks = m.groups()
+            return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        lead, word = m.groups()
         if self.lower:
             word = word.lower()
         if not word.isascii():
@@ -86,21 +101,43 @@ class Encoder:
             ids = self._model(self.line) + self._model(word)
         else:
             ids = self._model(word)
-        return ids + self._model(marks) if marks else ids
+        return array("i", ids).tobytes()
+
+    def known(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of each piece: from the younger generation, the older one, or made now."""
+        found = list(map(self.young.get, parts))
+        for i, ids in enumerate(found):
+            if ids is None:
+                part = parts[i]
+                ids = self.old.get(part)
+                found[i] = ids = self.piece(part) if ids is None else ids
+                if len(part) <= LONGEST_KEPT:
+                    self.young[part] = ids
+                    if len(self.young) >= GENERATION:
+                        self.old, self.young = self.young, {}
+        return found
+
+    def specials(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
+        """Where special tokens' strings stand, each within one text."""
+        if self.special is None:
+            return []
+        at = [m.span() for m in self.special.finditer(data.tobytes())]
+        text = np.searchsorted(offsets, [a for a, _ in at], "right") if at else []
+        return [(a, b) for (a, b), t in zip(at, text, strict=True) if b <= offsets[t]]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, offsets = raw(texts)
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-        begin = cuts(data, offsets)
+        begin = cuts(data, offsets, self.specials(data, offsets))
         bounds = np.append(begin, len(data)).astype(np.int64)
-        parts = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data)))
+        parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
         coded = parts.dictionary_encode()
-        if len(self.known) > KEPT:
-            self.known.clear()
-        ids = [self.piece(p) for p in coded.dictionary.to_pylist()]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.int32, int(size.sum()))
+        spelled, ends = raw(coded.dictionary)
+        spelled, ends = spelled.tobytes(), ends.tolist()
+        ids = self.known([spelled[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)])
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        flat = np.frombuffer(b"".join(ids), np.int32)
         first = np.concatenate([[0], np.cumsum(size)])[:-1]
         index = np.asarray(coded.indices)
         count = size[index]
@@ -119,9 +156,8 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def forget(used: Encoder) -> None:
-    """At a task's end: give back what the worker would keep until its next one."""
-    used.known.clear()
+def tidy() -> None:
+    """At a task's end: give back what Arrow keeps; the bounded cache of pieces stays for the worker's next task."""
     pa.default_memory_pool().release_unused()
 
 

@@ -41,6 +41,7 @@ def corpus():
         rows.append((50 + i, " ".join(w)))
     rows += [(70, None), (71, ""), (72, " \n\t"), (73, make(20000)), (74, "Word " * 50), (75, "x\x0by\x0cz \x1c   　 end"), (76, "A" * 300), (None, base), (77, make(30)), (77, make(30))]
     rows += [(78, base), (78, base)]
+    rows += [(79, "hello <|endoftext|> world<|startoftext|>."), (80, "<|endoftext|>"), (81, "it's a <|ENDOFTEXT|> e\u0301!! don't, ok?3.5 (x)$$$")]
     return rows
 
 
