@@ -4,13 +4,14 @@ A document's set holds its distinct k-word shingles; documents with intersection
 union are linked. Equal sets are one vertex, so copies cost one row. Over the distinct sets:
 
 * A *tree* starts at its root. At a node a document branches by its minwise hash at a coordinate
-  that the node chooses, and by a second one with probability 1/threshold - 1. That is
-  1/threshold branches on average, so a pair at the threshold is expected to meet in one branch at
-  any depth; independent trees are repeated to the target recall.
+  that the node chooses, and by a second one with probability 1/t - 1. That is 1/t branches on
+  average, so a pair of agreement t is expected to meet in one branch at any depth. All trees draw
+  on one set of coordinates, so t is the agreement that a pair at the threshold has by
+  ``TREE_DEVIATIONS`` standard deviations of bad luck; trees are repeated to the target recall.
 * *Nodes* of two or more documents give candidates, in rounds, so that no node emits all its
-  pairs: first each document with the least that it shares a node with, then twice with the partner
-  of another component whose sketch agrees most; confirmed links are closed to components after
-  each round. Only nodes that still hold several components are then compared exhaustively, across
+  pairs: first each document with the least that it shares a node with, then, for a few rounds, with
+  the one partner of another component, over all its nodes, whose sketch agrees most; confirmed
+  links are closed to components after each round, so a round adds at most one link a document. Only nodes that still hold several components are then compared exhaustively, across
   components. Nodes that are too large for that branch further; what cannot be split is compared
   in blocks.
 * A *sketch* of all minwise hashes drops pairs that are more than ``DEVIATIONS`` standard deviations below
@@ -38,11 +39,12 @@ from .storage import Scratch
 from .text import U, grams, mix, pair, pieces, word_hashes, words
 
 COORDINATES = 256
-DEVIATIONS = 4.0
+DEVIATIONS = 5.0
+TREE_DEVIATIONS = 2.0
 NO_ID = 2**63 - 1
 LEVELS = 3  # levels of a tree between two looks at the nodes' sizes
 MOST_LEVELS = 12
-CLOSING = 2  # rounds of nearest partners
+CLOSING = 4  # rounds, at most, of nearest partners
 SMALL = 200  # documents of a node that are compared exhaustively
 
 
@@ -98,9 +100,14 @@ def signatures(docs: DataFrame, k: int, text: str, doc_id: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text")).mapInArrow(sign, SIGNED)
 
 
+def met(threshold: float) -> float:
+    """The agreement of sketches that trees are made for."""
+    return threshold - TREE_DEVIATIONS * math.sqrt(threshold * (1 - threshold) / COORDINATES)
+
+
 def descend(path: np.ndarray, member: np.ndarray, sketch: np.ndarray, threshold: float, levels: int) -> tuple[np.ndarray, np.ndarray]:
     """Branch each (path, member) by chosen minwise tokens, ``levels`` times."""
-    extra = U(int((1 / threshold - 1) * 2**32))
+    extra = U(int((1 / met(threshold) - 1) * 2**32))
     for _ in range(levels):
         first = (mix(path + U(1)) % U(COORDINATES)).astype(np.int64)
         more = np.flatnonzero((mix(path + U(2)) >> U(32)) < extra)
@@ -133,7 +140,7 @@ def branch(rows: DataFrame, threshold: float, trees: int = 0, levels: int = LEVE
 
 
 def least_agreement(threshold: float) -> float:
-    """Coordinates at which the sketches of a link agree, but for a chance of a few in a hundred thousand."""
+    """Coordinates at which the sketches of a link agree, but for a chance of less than one in a million."""
     return COORDINATES * threshold - DEVIATIONS * math.sqrt(COORDINATES * threshold * (1 - threshold))
 
 
@@ -198,7 +205,7 @@ def sized(nodes: DataFrame) -> DataFrame:
 
 def across(rows: DataFrame, groups: list[str], threshold: float, nearest: bool = False) -> DataFrame:
     """Likely pairs across components within each group of at most a few hundred rows: all of them,
-    or for each row only the one whose sketch agrees most."""
+    or (with the agreement) for each row a only the one whose sketch agrees most."""
     least = least_agreement(threshold)
 
     def compare(t: pa.Table) -> pa.Table:
@@ -213,16 +220,25 @@ def across(rows: DataFrame, groups: list[str], threshold: float, nearest: bool =
             ok &= np.minimum(n[rest], n[i]) >= threshold * np.maximum(n[rest], n[i]) - 1e-9
             at = np.flatnonzero(ok) + rest.start
             if nearest:
-                at = at[agree[at] == agree[at].max()][:1] if len(at) else at
-            out += [(min(key[i], key[j]), max(key[i], key[j])) for j in at.tolist()]
-        return pa.Table.from_batches([to_batch(out, "a binary, b binary")])
+                out += [(key[i], key[j], int(agree[j])) for j in at[np.argsort(-agree[at], kind="stable")[:1]].tolist()]
+            else:
+                out += [(min(key[i], key[j]), max(key[i], key[j])) for j in at.tolist()]
+        return pa.Table.from_batches([to_batch(out, schema)])
 
-    return rows.select(*groups, "key", "n", "sketch", "label").groupBy(*groups).applyInArrow(compare, "a binary, b binary")
+    schema = "a binary, b binary, agree int" if nearest else "a binary, b binary"
+    return rows.select(*groups, "key", "n", "sketch", "label").groupBy(*groups).applyInArrow(compare, schema)
+
+
+def likeliest(found: DataFrame) -> DataFrame:
+    """Of all nodes' nearest pairs the one that agrees most for each document a, each pair once."""
+    best = found.groupBy("a").agg(F.max(F.struct("agree", "b")).alias("best")).select("a", F.col("best")["b"].alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def tree_count(threshold: float, recall: float) -> int:
     """Trees for the recall at the threshold; a tree's is the survival of its branching process."""
     alive = 1.0
+    threshold = met(threshold)
     extra = 1 / threshold - 1
     for _ in range(MOST_LEVELS):
         meet = threshold * alive
@@ -254,9 +270,11 @@ def groups(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, k: int
 
     # each document with its likeliest partner of another component, as in Boruvka's trees: components
     # of near copies close in a few rounds, before all pairs of what is left are looked at
-    for _ in range(CLOSING):
-        parts = mixed(nodes).withColumn("part", F.pmod(F.xxhash64("key", "node"), F.ceil(F.col("size") / SMALL)))
-        near = scratch.write(across(parts, ["node", "part"], threshold, nearest=True).distinct(), "nearest")
+    for at in range(CLOSING):
+        parts = mixed(nodes).withColumn("part", F.pmod(F.xxhash64("key", "node", F.lit(at)), F.ceil(F.col("size") / SMALL)))
+        near = scratch.write(likeliest(across(parts, ["node", "part"], threshold, nearest=True)), "nearest")
+        if near.isEmpty():
+            break
         new = scratch.write(confirmed(near, sets, docs, k, threshold, text, doc_id, scratch), "links")
         if new.isEmpty():
             break

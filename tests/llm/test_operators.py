@@ -157,6 +157,31 @@ def test_op3_equals_brute_force(spark, docs, empty, percent):
         assert kept.columns == docs.columns and kept.filter("doc_id = 78").count() == 0
 
 
+@pytest.mark.parametrize("threshold", [0.8, 0.85])
+@pytest.mark.parametrize("levels", [op3_neardup.LEVELS, op3_neardup.MOST_LEVELS])
+def test_op3_trees_reach_their_recall(threshold, levels):
+    """2,000 pairs of sets exactly at the threshold: those that meet in some node."""
+    rnd = np.random.default_rng(12)
+    a, b = op3_neardup.coordinates()
+    common, own = round(threshold * 200), round((1 - threshold) * 200)
+    pairs, met = 2000, 0
+    sketches = []
+    for _ in range(pairs):
+        x = rnd.integers(0, 2**64, common + own, dtype=np.uint64)
+        half = own // 2
+        sketches += [op3_neardup.minwise(x[: common + half], a, b), op3_neardup.minwise(np.concatenate([x[:common], x[common + half :]]), a, b)]
+    trees = op3_neardup.tree_count(threshold, 0.999)
+    for at in range(0, pairs, 100):
+        sketch = np.array(sketches[2 * at : 2 * at + 200])
+        path = np.repeat(op3_neardup.mix(np.arange(trees, dtype=np.uint64) + np.uint64(77)), len(sketch))
+        path, member = op3_neardup.descend(path, np.tile(np.arange(len(sketch)), trees), sketch, threshold, levels)
+        found = {}
+        for p, m in set(zip(path.tolist(), member.tolist(), strict=True)):
+            found.setdefault((p, m // 2), set()).add(m)
+        met += len({d for (_, d), who in found.items() if len(who) == 2})
+    assert met >= 0.99 * pairs
+
+
 def language(rnd, letters, n):
     return " ".join("".join(rnd.choices(letters, k=rnd.randint(2, 7))) for _ in range(n))
 
