@@ -108,10 +108,24 @@ def to_batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 Merge = Callable[[int, np.ndarray, np.ndarray, list[np.ndarray]], list[np.ndarray] | np.ndarray]
 
 
-def answer(requests: DataFrame, merge: Callable, width: int) -> DataFrame:
+def grouped(keys: np.ndarray, check: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys and the number of each entry's group; with ``check``, entries are of one
+    group only where that agrees too (a key then appears once for each of its checks)."""
+    if check is None:
+        return np.unique(keys, return_inverse=True)
+    order = np.lexsort((check, keys))
+    k, c = keys[order], check[order]
+    new = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])[: len(k)]
+    group = np.empty(len(k), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return k[new], group
+
+
+def answer(requests: DataFrame, merge: Callable, width: int, checked: bool = False) -> DataFrame:
     """Answers to ``requests``: ``merge(kind, keys, group, vals)`` sees what one bucket got,
     the keys' distinct group numbers and ``width`` arrays of values, and returns an 8-byte
-    number for each group. Rows of kind -1 are the sums that merge may return second."""
+    number for each group. Rows of kind -1 are the sums that merge may return second. checked: the
+    first array of values is 64 bits more of each key."""
 
     def reduce(table: pa.Table) -> pa.Table:
         out = []
@@ -121,9 +135,10 @@ def answer(requests: DataFrame, merge: Callable, width: int) -> DataFrame:
             rows = np.flatnonzero(kinds == kind)
             each = [np.cumsum(expand(table.column("keys")[int(r)].as_py(), U), dtype=U) for r in rows]
             size = np.array([len(x) for x in each])
-            keys, group = np.unique(np.concatenate(each), return_inverse=True)
             got = [expand(table.column("vals")[int(r)].as_py(), np.int64).reshape(width, -1) for r in rows] if width else []
-            result = merge(int(kind), keys, group, [np.concatenate([x[i] for x in got]) for i in range(width)])
+            vals = [np.concatenate([x[i] for x in got]) for i in range(width)]
+            keys, group = grouped(np.concatenate(each), vals[0] if checked else None)
+            result = merge(int(kind), keys, group, vals)
             result, totals = result if isinstance(result, tuple) else (result, None)
             at = np.concatenate([[0], np.cumsum(size)])
             for i, r in enumerate(rows):

@@ -10,8 +10,8 @@
    and leave it, in all documents; an end of a walk counts as an edge of its own.
 3. *Compaction*: a node with one way in and one way out is inside a nonbranching path, all others
    are cuts. Cutting all walks there leaves compacted paths, and all occurrences of an edge lie in
-   occurrences of the same path. Paths are keyed by 128 bits over all their words, read again at
-   the source coordinates, so two different spans never count as equal.
+   occurrences of the same path. Paths are keyed and verified by 128 bits over all their words, read
+   again at the source coordinates: two independent 64-bit hashes, both of which must agree.
 4. *Removal*: a path also found in a document with a smaller id covers the words to remove.
 
 Each pass answers through ``exchange``: a key costs one entry a chunk, so passages that thousands
@@ -133,12 +133,13 @@ class Walks:
         return mix(((total[end] - total[begin]) * inverse[begin]) + (end - begin).astype(U))
 
     def path_requests(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct paths: key, check, and the least document that holds each."""
+        """Distinct paths, by key, then check; the least document that holds each, and each piece's path."""
         doc = self.id[self.piece[:, 0]] if len(self.piece) else np.zeros(0, np.int64)
-        keys, at, where = np.unique(pair(self.key, self.check), return_index=True, return_inverse=True)
-        least = np.full(len(keys), NO_DOC)
+        keys, where = X.grouped(self.key, self.check)
+        check, least = np.zeros(len(keys), U), np.full(len(keys), NO_DOC)
+        check[where] = self.check
         np.minimum.at(least, where, doc)
-        return keys, self.check[at] if len(keys) else np.zeros(0, U), least, where
+        return keys, check, least, where
 
     def removed(self, least: np.ndarray) -> np.ndarray:
         """Flags of the words to remove; least: the smallest document of each distinct path."""
@@ -184,9 +185,9 @@ def merge(kind: int, keys: np.ndarray, group: np.ndarray, vals: list[np.ndarray]
         (np.maximum if at else np.minimum).at(out, group, values)
         return out
 
+    if kind == PATH:  # vals: check, document
+        return extreme(0, vals[1])
     low = extreme(0, vals[0])
-    if kind == PATH:
-        return low
     # seeds that two documents share; nodes with an end (0) or a second pair of edges, which are cuts
     several = low != extreme(1, vals[-1])
     return (several | (low == 0) if kind == NODE else several).astype(np.int64)
@@ -223,10 +224,10 @@ def spans(chunks: DataFrame, scratch: Scratch, k: int, finish: Callable[[Walks,
         w = walks(table)
         w.mark(X.answers_of(got, SEED))
         w.cut(X.answers_of(got, NODE))
-        keys, _, least, _ = w.path_requests()
-        yield X.to_batch(X.request_rows(chunk, PATH, keys, [least], buckets), X.REQUESTS)
+        keys, check, least, _ = w.path_requests()
+        yield X.to_batch(X.request_rows(chunk, PATH, keys, [check, least], buckets), X.REQUESTS)
 
-    sources = scratch.write(X.answer(X.with_answers(chunks, known, paths, X.REQUESTS), merge, 1), "paths")
+    sources = scratch.write(X.answer(X.with_answers(chunks, known, paths, X.REQUESTS), merge, 2, checked=True), "paths")
     known = known.unionByName(sources)
     scratch.release()
 

@@ -125,6 +125,22 @@ def test_op2_equals_brute_force(spark, docs, empty):
     assert out.columns == docs.columns and out.count() == len(ROWS)
 
 
+def test_op2_paths_are_equal_in_128_bits():
+    """Keys that collide: paths count as one only where their checks agree too."""
+    keys, check = np.array([7, 7, 3, 7, 3], np.uint64), np.array([1, 2, 9, 1, 9], np.int64)
+    found, group = exchange.grouped(keys, check)
+    assert found.tolist() == [3, 7, 7] and group.tolist() == [1, 2, 0, 1, 0]
+    assert op2_substring.merge(op2_substring.PATH, found, group, [check, np.array([50, 10, 30, 40, 20])]).tolist() == [20, 40, 10]
+    assert [x.tolist() for x in exchange.grouped(np.zeros(0, np.uint64), np.zeros(0, np.int64))] == [[], []]
+    texts = pa.array(["a b c d e f g", "u v w x y z t", "a b c d e f g"])
+    w = op2_substring.Walks(texts, pa.array([5, 2, 9]), 3)
+    w.mark(np.ones(len(np.unique(w.chosen)), np.int64))
+    w.cut(np.zeros(10**4, np.int64)[: len(np.unique(np.concatenate([w.nodes(), w.tails(np.concatenate([w.begins[1:], [True]]))])))])
+    w.key = np.zeros_like(w.key)  # every path under one key
+    keys, check, least, where = w.path_requests()
+    assert len(keys) == 2 and least[where].tolist() == [5, 2, 5]
+
+
 def shingles(t, k=5):
     w = split(t, True)
     return frozenset(tuple(w[p : p + k]) for p in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
