@@ -9,6 +9,9 @@ holds a third of all rows is split like any other; sizes differ by about one doc
 
 Only histograms reach the driver, at most about ``CELLS`` numbers a job (at least 16 a node).
 
+Under this law equal texts are rows like any others: a group of copies is split where the tree
+splits it, as a third of all bytes does not fit in one shard of sixteen.
+
 Defined results: a null text has size 1 and checksum 0; null ids and dimensions sort first; rows
 that repeat an id are told apart by their row number; an empty table gives an empty result.
 """
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 from .storage import Scratch
 
 CELLS = 32768
+FEW_RULES = 200_000  # rows of about 60 bytes that a join may broadcast
 SLOT_ROWS = 50_000
 LOWEST = -(2**63)
 
@@ -79,7 +83,9 @@ def split_level(spark: SparkSession, meta: DataFrame, nodes: list[Node], ranges:
             width = 1 if n.done else max(1, -(-(n.high - n.low + 1) // bins))
             fixed = [*n.fixed, 0, 0][:2]
             made.append((n.first, n.dim, n.stage, fixed[0], fixed[1], n.cut if n.done else n.low, n.high, width, n.left))
-        return spark.createDataFrame(made, "node int, dim int, stage int, e0 long, e1 long, low long, high long, width long, move int")
+        made = spark.createDataFrame(made, "node int, dim int, stage int, e0 long, e1 long, low long, high long, width long, move int")
+        # a row a node: sent to the table, so that no node, however large, meets in one task
+        return F.broadcast(made) if len(rows) <= FEW_RULES else made
 
     main = F.element_at(dims, F.col("dim") + 1)
     value = F.when(F.col("stage") == 0, main).when(F.col("stage") == 1, F.col("id_key")).otherwise(F.col("row"))
