@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import to_batch
@@ -94,13 +94,18 @@ def softmax(x: np.ndarray) -> np.ndarray:
 FEATURES = "label string, pick long, buckets binary, counts binary"
 
 
-def labelled_sample(rows: DataFrame, classes: int, sample: int) -> DataFrame:
-    """At most sample / classes rows (id, label, text) a label, the least by a hash of the id."""
-    each = max(1, sample // max(classes, 1))
-    order = Window.partitionBy("label").orderBy("pick")
-    picked = rows.select("id", "label", F.xxhash64("id").alias("pick")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= each)
-    chosen = picked.select("id").distinct()
-    return rows.join(chosen, "id", "left_semi").select("label", F.xxhash64("id").alias("pick"), "text")
+def labelled_sample(rows: DataFrame, counts: dict[str, int], sample: int) -> DataFrame:
+    """About sample / classes rows (label, pick, text) a label, and at least that many where there
+    are, but for a chance of one in ten thousand: those whose ``pick``, a hash of the id, is below a
+    mark that the label's number of rows gives. Of rows that repeat id and label one stays. Nothing
+    is sorted or dealt by label, so a label of most rows is no hot key."""
+    each = max(1, sample // max(len(counts), 1))
+    pick, mark = F.xxhash64("id"), F.lit(False)
+    for label, n in counts.items():
+        share = min(1.0, (each + 4 * each**0.5 + 8) / n)
+        mark = F.when(F.col("label") == label, pick <= int(-(2**63) + share * (2**64 - 2**11))).otherwise(mark)
+    chosen = rows.filter(mark).select("label", pick.alias("pick"), "text")
+    return chosen.groupBy("label", "pick").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
 
 
 def features(rows: DataFrame) -> DataFrame:
@@ -177,7 +182,13 @@ def fit(rows: DataFrame, sample: int = SAMPLE, **settings) -> tuple[Model, list]
     if not classes:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), np.float64(1), np.zeros(0)), []
     prior = np.array([counts[c] for c in classes], float)
-    got = sorted((tuple(r) for r in features(labelled_sample(rows, len(classes), sample)).collect()), key=lambda r: (r[1], r[0], r[2]))
+    each = max(1, sample // len(classes))
+    found = sorted((tuple(r) for r in features(labelled_sample(rows, counts, sample)).collect()), key=lambda r: (r[1], r[0], r[2]))
+    got, taken = [], dict.fromkeys(classes, 0)
+    for r in found:  # the least picks of each label, as many as the bound says
+        if taken[r[0]] < each:
+            taken[r[0]] += 1
+            got.append(r)
     return train(got, classes, prior / prior.sum(), **settings), got
 
 
