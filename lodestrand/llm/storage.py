@@ -19,9 +19,11 @@ from ..session import attach
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, or one of our own where none is configured (tests)."""
+    """The cluster's shared folder; where none is configured, one of our own on a single machine (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lodestrand-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
