@@ -1,177 +1,207 @@
-"""HTML to Markdown, as a pandas function over a column."""
+"""HTML to Markdown, as a pandas function over a column.
+
+A page becomes a small tree, without the elements that carry no content; each element then says
+what it puts around its children: marks, line ends and paragraph ends. Line ends next to each other
+count once, and a paragraph end among them makes one blank line.
+"""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from html.parser import HTMLParser
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Elements that go with their content, chrome, and attribute words of boilerplate.
-DROPPED = "script|style|noscript|template|svg|iframe|canvas|video|audio"
-CHROME = "nav|footer|form|button|dialog|select|datalist|aside"
-BOXES = "div|section|main|aside|ul|ol|span"
-BOILERPLATE = "nav|menu|sidebar|breadcrumb|footer|header|cookie|consent|banner|advert|promo|popup|modal|toolbar|pagination|social|share|related|newsletter|subscribe"
-#: Void elements, block elements and inline marks.
+DROPPED = frozenset("script style noscript template svg iframe canvas video audio".split())
+CHROME = frozenset("nav footer form button dialog select datalist aside".split())
+BOXES = frozenset("div section main aside ul ol span".split())
+BOILERPLATE = "nav menu sidebar breadcrumb footer header cookie consent banner advert promo popup modal toolbar pagination social share related newsletter subscribe".split()
+#: Void elements, block elements, inline marks and entities.
 VOID = frozenset("br hr img input meta link source area base col embed param track wbr".split())
 BLOCK = frozenset("p div section article main header h1 h2 h3 h4 h5 h6 ul ol li blockquote pre table thead tbody figure figcaption dl dt dd details summary".split())
 MARKS = {"strong": "**", "b": "**", "em": "*", "i": "*", "code": "`"}
-#: Entities in the order in which they are decoded; ampersands last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "))
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "#39": "'", "apos": "'", "nbsp": " ", "amp": "&"}
+
+LINE, PARAGRAPH = "\0line", "\0paragraph"
+DEEPEST = 120  # elements within elements; those further down add their content to the one above
+_WORDS = re.compile(rf"\b({'|'.join(BOILERPLATE)})", re.I | re.A)
+_HELD = "\ue000"  # stands for an ampersand while the parser works, which then resolves none itself
+_REFERENCE = re.compile(_HELD + r"(#?[a-z0-9]+);")
+#: Elements that end an open one of the same kind, up to the element that bounds them.
+ENDS = {"li": ({"li"}, {"ul", "ol"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
+
+
+def decoded(s: str) -> str:
+    """Entities, each once: what an ampersand leaves behind is not looked at again."""
+
+    def char(m: re.Match) -> str:
+        if m[1] in ENTITIES:
+            return ENTITIES[m[1]]
+        if re.fullmatch("#[0-9]{1,7}", m[1], re.A) and int(m[1][1:]) < 0x110000:
+            return chr(int(m[1][1:]))
+        return m[0]
+
+    return _REFERENCE.sub(char, s).replace(_HELD, "&")
+
+
+class Element:
+    __slots__ = ("name", "attributes", "inside", "ended")
+
+    def __init__(self, name: str, attributes: dict[str, str] | None = None):
+        self.name, self.attributes, self.inside, self.ended = name, attributes or {}, [], False
+
+    def texts(self) -> Iterator[str]:
+        for x in self.inside:
+            if isinstance(x, str):
+                yield x
+            else:
+                yield from x.texts()
+
+    def all(self, *names: str) -> Iterator[Element]:
+        for x in self.inside:
+            if isinstance(x, Element):
+                if x.name in names:
+                    yield x
+                yield from x.all(*names)
+
+
+class Page(HTMLParser):
+    """The tree of a page. An element that is left out lasts to the first end tag of its name."""
+
+    def __init__(self, html: str, strip_chrome: bool):
+        super().__init__(convert_charrefs=False)
+        self.strip_chrome, self.out = strip_chrome, None
+        self.root = Element("")
+        self.open = [self.root]
+        self.ends: dict[str, int] = {}
+        for name in re.findall(r"</([a-zA-Z][a-zA-Z0-9-]*)\s*>", html, re.A):
+            self.ends[name.lower()] = self.ends.get(name.lower(), 0) + 1
+        self.feed(html.replace("&", _HELD))
+        self.close()
+
+    def left_out(self, name: str, attributes: dict[str, str]) -> bool:
+        if not self.ends.get(name):  # nothing ends it
+            return False
+        about = (attributes.get(k, "") for k in ("class", "id", "role", "aria-label"))
+        return name in DROPPED or (self.strip_chrome and (name in CHROME or (name in BOXES and any(map(_WORDS.search, about)))))
+
+    def handle_starttag(self, name, attrs):
+        attributes = {k: v or "" for k, v in reversed(attrs)}
+        if self.out:
+            return
+        if self.left_out(name, attributes):
+            self.out = name
+            self.handle_data(" ")
+            return
+        same, bounds = ENDS.get(name, ((), ()))
+        for at in range(len(self.open) - 1, 0, -1):
+            if self.open[at].name in bounds:
+                break
+            if self.open[at].name in same:
+                del self.open[at:]
+                break
+        element = Element(name, attributes)
+        self.open[-1].inside.append(element)
+        if name not in VOID and len(self.open) < DEEPEST:
+            self.open.append(element)
+
+    def handle_startendtag(self, name, attrs):
+        self.handle_starttag(name, attrs)
+
+    def handle_endtag(self, name):
+        if name in self.ends:
+            self.ends[name] -= 1
+        if self.out:
+            self.out = None if name == self.out else self.out
+            return
+        for at in range(len(self.open) - 1, 0, -1):
+            if self.open[at].name == name:
+                self.open[at].ended = True
+                del self.open[at:]
+                return
+        # marks stand where the page's tags do, also where those do not pair
+        self.open[-1].inside.append(MARKS.get(name, ""))
 
-_COMMENT = re.compile(r"<!--.*?-->", re.S)
-_ELEMENT = {names: re.compile(rf"<({names})\b[^>]*>.*?</\1\s*>", re.S | re.I | re.A) for names in (DROPPED, CHROME)}
-_BOILERPLATE = re.compile(rf'<({BOXES})\b[^>]*(?:class|id|role|aria-label)\s*=\s*"[^"]*(?:\b(?:{BOILERPLATE})[\w-]*)[^"]*"[^>]*>.*?</\1\s*>', re.S | re.I | re.A)
-_PART = re.compile(r"<!--.*?-->|<[a-zA-Z/!][^>]*>|[^<]+", re.S)
-_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.A)
-_HREF = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|(\S+))""")
-_ROW = re.compile(r"<tr\b[^>]*>(.*?)</tr>", re.S | re.I)
-_CELL = re.compile(r"<t[dh]\b[^>]*>(.*?)</t[dh]>", re.S | re.I)
+    def handle_data(self, data):
+        if not self.out or data == " ":
+            if data != "<":  # a sign that begins no tag is lost
+                self.open[-1].inside.append(decoded(data))
 
+    def handle_comment(self, data):
+        self.handle_data(" ")
 
-def entities(s: str) -> str:
-    for name, char in ENTITIES:
-        s = s.replace(name, char)
-    s = re.sub(r"&#([0-9]+);", lambda m: chr(int(m[1])) if int(m[1]) < 0x110000 else m[0], s)
-    return s.replace("&amp;", "&")
 
+class Verbatim(str):
+    """Text that keeps its lines."""
 
-def pipe_table(inner: str) -> str:
-    rows = [[re.sub(r"\s+", " ", re.sub(r"<[^>]+>", " ", c)).strip() for c in _CELL.findall(row)] for row in _ROW.findall(inner)]
+
+def table(element: Element) -> str:
+    rows = [[" ".join(" ".join(cell.texts()).split()) for cell in row.all("td", "th")] for row in element.all("tr")]
     rows = [r for r in rows if r]
     if not rows:
         return ""
-    width = max(map(len, rows))
-    shown = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in rows]
-    shown.insert(1, "| " + " | ".join(["---"] * width) + " |")
-    return "\n".join(shown)
-
-
-class Writer:
-    """Collects Markdown lines; ``text`` and ``tag`` take the parts of a page in order."""
-
-    def __init__(self):
-        self.lines: list[str] = []
-        self.line: list[str] = []
-        self.lists: list[int | None] = []  # the next number, or None in lists without numbers
-        self.links: list[str] = []
-        self.tables, self.table = 0, None
-        self.pre = 0
-
-    def flush(self) -> None:
-        if self.line:
-            self.lines.append(re.sub(r"[ \t]+", " ", "".join(self.line)).strip())
-            self.line = []
-
-    def text(self, raw: str) -> None:
-        s = entities(raw)
-        if self.table is not None:
-            self.table += s
-        elif self.pre:
-            self.lines.append(re.sub(r"[ \t]+", " ", s).rstrip())
-        elif s.strip() or self.line:
-            self.line.append(re.sub(r"\s+", " ", s))
-
-    def tag(self, raw: str) -> None:
-        m = _TAG.fullmatch(raw)
-        if m is None:
-            return
-        closing, name, attributes = bool(m[1]), m[2].lower(), m[3]
-        if name == "pre":
-            self.fence(closing)
-        elif self.pre:
-            return
-        elif name == "table":
-            self.whole_table(closing)
-        elif self.table is not None:
-            self.table += raw
-        elif name in VOID:
-            if name in ("br", "hr"):
-                self.flush()
-            if name == "hr":
-                self.lines += ["", "---", ""]
-        elif closing:
-            self.close(name)
+    wide = max(map(len, rows))
+    rows = [r + [""] * (wide - len(r)) for r in rows]
+    return "\n".join(f"| {' | '.join(r)} |" for r in [rows[0], ["---"] * wide, *rows[1:]])
+
+
+def fenced(element: Element) -> str:
+    code = re.sub(r"[ \t]+", " ", "".join(element.texts())).rstrip()
+    return f"```\n{code}\n```" if code else "```\n```"
+
+
+def parts(element: Element, numbers: Iterator[int] | None = None) -> Iterator[str]:
+    """What an element shows, with LINE and PARAGRAPH between; numbers: those of the list around it."""
+    name = element.name
+    if name == "pre":
+        yield from (LINE, Verbatim(fenced(element)), PARAGRAPH)
+        return
+    if name == "table":
+        yield from (LINE, Verbatim(table(element)), PARAGRAPH)
+        return
+    if name in VOID:
+        yield from {"br": (LINE,), "hr": (PARAGRAPH, "---", PARAGRAPH)}.get(name, ())
+        return
+    target = decoded(element.attributes.get("href", "")) if name == "a" else ""
+    link = target.lower().startswith(("http://", "https://"))
+    if name in ("ul", "ol"):
+        numbers = count(1) if name == "ol" else None
+    yield PARAGRAPH if name in ("ul", "ol") else LINE if name in BLOCK else ""
+    if name == "li":
+        yield f"{next(numbers)}. " if numbers else "- "
+    yield {"blockquote": "> ", "a": "[" if link else ""}.get(name) or MARKS.get(name) or ("#" * int(name[1]) + " " if re.fullmatch("h[1-6]", name) else "")
+    for x in element.inside:
+        if isinstance(x, str):
+            yield re.sub(r"\s+", " ", x)
         else:
-            self.open(name, attributes)
-
-    def fence(self, closing: bool) -> None:
-        if not closing:
-            self.flush()
-            self.pre += 1
-            self.lines.append("```")
-        elif self.pre:
-            self.pre -= 1
-            while self.lines and not self.lines[-1]:
-                self.lines.pop()
-            self.lines += ["```", ""]
-
-    def whole_table(self, closing: bool) -> None:
-        if not closing:
-            self.flush()
-            self.tables += 1
-            self.table = self.table or ""
-        elif self.tables:
-            self.tables -= 1
-            shown = pipe_table(self.table or "")
-            if shown:
-                self.lines += [shown, ""]
-            if not self.tables:
-                self.table = None
-
-    def close(self, name: str) -> None:
-        if name in MARKS:
-            self.line.append(MARKS[name])
-        elif name == "a":
-            href = self.links.pop() if self.links else ""
-            self.line.append(f"]({href})" if re.match(r"https?://", href, re.I) else "")
-        elif name == "li":
-            self.flush()
-        elif name in BLOCK:
-            self.flush()
-            self.lines.append("")
-        if name in ("ul", "ol") and self.lists:
-            self.lists.pop()
-
-    def open(self, name: str, attributes: str) -> None:
-        if re.fullmatch("h[1-6]", name):
-            self.flush()
-            self.line.append("#" * int(name[1]) + " ")
-        elif name in ("ul", "ol"):
-            self.flush()
-            self.lists.append(1 if name == "ol" else None)
-            self.lines.append("")
-        elif name == "li":
-            self.flush()
-            mark = "- "
-            if self.lists and self.lists[-1] is not None:
-                mark = f"{self.lists[-1]}. "
-                self.lists[-1] += 1
-            self.line.append("  " * max(0, len(self.lists) - 1) + mark)
-        elif name == "blockquote":
-            self.flush()
-            self.line.append("> ")
-        elif name in MARKS:
-            self.line.append(MARKS[name])
-        elif name == "a":
-            found = {k.lower(): entities(a or b or c) for k, a, b, c in _HREF.findall(attributes[:500])}
-            self.links.append(found.get("href", ""))
-            self.line.append("[" if re.match(r"https?://", self.links[-1], re.I) else "")
-        elif name in BLOCK:
-            self.flush()
+            yield from parts(x, numbers)
+    if element.ended:
+        yield f"]({target})" if link else MARKS.get(name, "")
+    if name in BLOCK:
+        yield LINE if name == "li" else PARAGRAPH
+
+
+def assembled(shown: Iterator[str]) -> str:
+    out, line, gap = [], "", ""
+    for x in (*shown, LINE):
+        if x not in (LINE, PARAGRAPH) and not isinstance(x, Verbatim):
+            line += x
+            continue
+        whole = [re.sub(r"[ \t]+", " ", line).strip(), x if isinstance(x, Verbatim) else ""]
+        for y in filter(None, whole):
+            out.append(gap + y)
+            gap = "\n"
+        line, gap = "", "\n\n" if x == PARAGRAPH else gap
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", "".join(out))).strip()
 
 
 def to_markdown(html: str | None, strip_chrome: bool = True) -> str:
-    src = _ELEMENT[DROPPED].sub(" ", _COMMENT.sub(" ", html or ""))
-    if strip_chrome:
-        src = _BOILERPLATE.sub(" ", _ELEMENT[CHROME].sub(" ", src))
-    w = Writer()
-    for part in _PART.findall(src):
-        (w.tag if part.startswith("<") else w.text)(part)
-    w.flush()
-    out = re.sub(r"[ \t]+\n", "\n", "\n".join(w.lines))
-    return re.sub(r"\n{3,}", "\n\n", out).strip()
+    return assembled(parts(Page(html or "", strip_chrome).root))
 
 
 def html_to_markdown(c: Column, strip_chrome: bool = True) -> Column:

@@ -6,6 +6,8 @@ Order is always explicit: a document's position, then the chunk's ordinal.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -46,31 +48,35 @@ def sliced(c: Column, size: int, overlap: int) -> Column:
 
 
 def split_windows(text: str | None, size: int = 2000, overlap: int = 200) -> list[str]:
-    """Windows along paragraphs. A window grows by whole paragraphs; the next one repeats its tail;
-    a paragraph that is too long alone is sliced. The step is 1 at least."""
-    text = text or ""
-    if len(text) <= size:
-        return [text]
-    step = max(1, size - overlap)
-    windows: list[str] = []
-    held = ""
-    for paragraph in re.split(r"\n\n+", text):
-        if len(held) + 2 + len(paragraph) <= size:
-            held = f"{held}\n\n{paragraph}" if held else paragraph
+    """Windows along paragraphs. How many whole paragraphs fit behind what a window begins with is read
+    off their running ends; the next window begins with its tail. A paragraph that is too long alone
+    is sliced. The step is 1 at least."""
+    if len(text or "") <= size:
+        return [text or ""]
+    body = re.sub(r"\n\n+", "\n\n", text).removeprefix("\n\n")
+    lengths = [len(p) for p in body.split("\n\n")]
+    ends = list(accumulate(n + 2 for n in lengths))  # each with the blank line behind it
+    step, out, lead, at = max(1, size - overlap), [], "", 0
+    while at < len(lengths):
+        begin = ends[at] - lengths[at] - 2
+        used = len(lead) + 2 if lead else 0
+        fit = bisect_right(ends, size - used + 2 + begin) if lead or lengths[at] + 2 <= size else at
+        if fit > at:
+            lead = "\n\n".join(filter(None, (lead, body[begin : ends[fit - 1] - 2]))) if lengths[fit - 1] or not lead else f"{lead}\n\n{body[begin : ends[fit - 1] - 2]}"
+            at = fit
             continue
-        if held:
-            windows.append(held)
-        if len(paragraph) > size:
-            windows.extend(paragraph[at : at + size] for at in range(0, len(paragraph), step))
-            held = ""
+        out += [lead] if lead else []
+        alone = body[begin : begin + lengths[at]]
+        at += 1
+        if len(alone) > size:
+            out += [alone[i : i + size] for i in range(0, len(alone), step)]
+            lead = ""
             continue
-        held = f"{windows[-1][-overlap:]}\n\n{paragraph}" if overlap and windows else paragraph
-        if len(held) > size:
-            windows.append(held[:size])
-            held = held[step:] if step < len(held) else ""
-    if held.strip():
-        windows.append(held)
-    return windows
+        lead = f"{out[-1][-overlap:]}\n\n{alone}" if overlap and out else alone
+        if len(lead) > size:
+            out.append(lead[:size])
+            lead = lead[step:]
+    return [*out, lead] if lead.strip() else out
 
 
 def windows(c: Column, size: int = 2000, overlap: int = 200) -> Column:
@@ -93,10 +99,10 @@ def chunks(docs: DataFrame, source: str, position: str, size: int = 2000, overla
 
 
 def first_of_each(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key. Only the order is aggregated: a hot key costs a row a task."""
-    first = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("__first"))
-    fields = first.select(*keys, *[F.col("__first")[c].alias(c) for c in order if c not in keys])
-    return df.join(fields, [*keys, *[c for c in order if c not in keys]], "left_semi")
+    """The first row of each key, in one pass: a map task keeps one row a key, so a hot key costs a row a task."""
+    rest = [c for c in df.columns if c not in keys]
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__first"))
+    return first.select(*[c if c in keys else F.col("__first")[c].alias(c) for c in df.columns])
 
 
 def dedup(chunked: DataFrame) -> DataFrame:

@@ -73,18 +73,34 @@ def test_markdown():
     assert "```\nx < y\n```" in got and "menu" not in got and "gone" not in got and to_markdown(None) == ""
 
 
+def test_markdown_keeps_structure():
+    assert to_markdown("<div><p>a<p>b</div>c<br><br>d &lt; &#233; &foo; 1 < 2") == "a\nb\n\nc\nd < é &foo; 1 2"
+    assert to_markdown("<ul><li>x<ul><li>y</ul><li>z</ul>") == "- x\n\n- y\n\n- z"
+    assert to_markdown('<div class="promo">x</div>y<nav>open') == "yopen" and to_markdown("<nav>kept</nav>", False) == "kept"
+    assert to_markdown("<p><b>a</p>b</b>") == "**a\n\nb**" and to_markdown("&amp;lt; <a href='/x'>y</a>") == "&lt; y"
+    assert to_markdown("<b>" * 5000 + "deep" + "</b>" * 5000).count("deep") == 1
+
+
 def test_windows_cover_and_overlap(spark):
     text = "".join(chr(97 + i % 26) for i in range(4100))
     slices = corpus.split_windows(text)
     assert [len(s) for s in slices] == [2000, 2000, 500] and slices[1][:200] == slices[0][-200:]
     native = spark.createDataFrame([(text,)], "t string").select(corpus.sliced(F.col("t"), 2000, 200)).first()[0]
     assert native == slices
+    assert corpus.split_windows("\n\n".join(["x" * 40, "y" * 40, "z" * 40]), 100, 10) == ["x" * 40 + "\n\n" + "y" * 40, "y" * 10 + "\n\n" + "z" * 40]
     assert corpus.split_windows("a\n\nb", 2000) == ["a\n\nb"] and corpus.split_windows("x" * 30, 10, 10)
 
 
-def test_code_examples_and_swaps():
+def test_code_examples_and_swaps(spark):
     text = "# Loops\n```js\nfor (let i = 0; i < 3; i++) { run(i); }\n```\n```console\n$ ls -la && echo done; true\n```"
-    assert qa.code_examples(text) == [("Show example js code for Loops", "for (let i = 0; i < 3; i++) { run(i); }")]
+    code = "for (let i = 0; i < 3; i++) { run(i); }"
+    assert qa.code_examples(text) == [("js", code, "Loops", None)]
+    long = "This longer line of prose says what follows.\n"
+    more = qa.code_examples(f"{long}```\n{code}\n```\n# the page\n```py\n{code}\n# not a heading\n")
+    assert more == [("code", code, None, long.strip()), ("py", f"{code}\n# not a heading", "the page", None)]
+    chunks = spark.createDataFrame([("s", 1, 0, text), ("s", 2, 0, f"{long}# the page\n```py\n{code}\n```")], "source string, position long, ordinal int, text string")
+    rows = qa.code_rows(qa.with_density(chunks)).orderBy("position").collect()
+    assert [(r["question"], r["answer"]) for r in rows] == [("Show example js code for Loops", code), (f"Show example py code for {long.strip()}", code)]
     assert blend.swapped("Linux has 4 cores") == "4 has Linux cores" and blend.swapped("nothing here") is None
 
 
