@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import written
 from . import qa
 from .corpus import first_of_each
 
@@ -47,7 +48,7 @@ def small_talk(spark: SparkSession, site: str = "this website", summary: str | N
 
 def ranked(df: DataFrame, order: list[str], alias: str = "turn") -> DataFrame:
     """A dense number from 0 along ``order``, through running counts of the order's ranges."""
-    parts = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    parts = written(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     counts = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     base = counts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
     numbered = parts.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..session import written
 
 STUB_CHARS = 200
 HOLDOUT = 0.05
@@ -29,6 +30,7 @@ def within_budget(docs: DataFrame, order: str, most: int) -> DataFrame:
 
     Running sums are made in two steps over parts of the order, so no task holds all rows."""
     parts = docs.select(F.col(order).alias("__o"), F.length("text").cast("long").alias("__n")).repartitionByRange("__o").withColumn("__part", F.spark_partition_id())
+    parts = written(parts)
     inner = Window.partitionBy("__part").orderBy("__o").rowsBetween(Window.unboundedPreceding, 0)
     sums = parts.groupBy("__part").agg(F.sum("__n").alias("__total"))
     base = sums.select("__part", F.coalesce(F.sum("__total").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))

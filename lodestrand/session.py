@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -34,3 +35,15 @@ def local(cores: int | str = "*", **conf: str) -> SparkSession:
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return attach(spark)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as rows in the checkpoint folder, for columns such as a partition's number that must not
+    be made twice. Without a folder in ``spark.checkpoint.dir``, one of our own on a single machine (tests)."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodestrand-"))
+    return df.checkpoint()

@@ -14,7 +14,8 @@ from ..operators.corpus import first_of_each
 
 
 def parse_pairs(answer: str | None) -> list[tuple[str, str]]:
-    """Questions and answers of a JSON array somewhere in the text, or of lines that begin Q: and A:."""
+    """Questions and answers of a JSON array somewhere in the text, or of lines that begin Q: and A:, or
+    Question 1 - and the like, in any case; answers may begin on the line below."""
     text = answer or ""
     found = re.search(r"\[.*\]", text, re.S)
     if found:
@@ -26,13 +27,13 @@ def parse_pairs(answer: str | None) -> list[tuple[str, str]]:
             pass
     pairs, question, answer_lines = [], None, None
     for line in [*text.split("\n"), "Q:"]:
-        asked, told = re.match(r"\s*Q\s*[:.]\s*(.*)", line), re.match(r"\s*A\s*[:.]\s*(.*)", line)
+        asked, told = (re.match(rf"\s*({names})\s*[0-9]*\s*[:.\-]\s*(?P<rest>.*)", line, re.I) for names in ("Q|Question", "A|Answer"))
         if asked:
             if question and answer_lines and " ".join(answer_lines).strip():
                 pairs.append((question, " ".join(answer_lines).strip()))
-            question, answer_lines = asked[1].strip(), None
+            question, answer_lines = asked["rest"].strip(), None
         elif told and question:
-            answer_lines = [told[1].strip()]
+            answer_lines = [told["rest"].strip()]
         elif answer_lines is not None and line.strip():
             answer_lines.append(line.strip())
     return pairs

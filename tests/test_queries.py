@@ -5,7 +5,7 @@ import decimal
 import duckdb
 import pytest
 
-from lodestrand.operators import catalog, corpus, evaluation, retrieval
+from lodestrand.operators import blend, catalog, corpus, evaluation, retrieval
 from lodestrand.plans import registry
 
 from .conftest import DATA
@@ -49,6 +49,17 @@ def test_dedup_does_not_depend_on_partitions(spark):
     assert found[0] == found[1] and len(set(found[0])) == len(found[0])
 
 
+def test_numbers_do_not_depend_on_reused_exchanges(spark):
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        rows = spark.range(100_000).selectExpr("id * 7919 % 100003 AS n", "'xx' AS text").repartition(5)
+        got = blend.ranked(rows, ["n"]).selectExpr("count(DISTINCT turn) AS d", "min(turn) AS lo", "max(turn) AS hi").first()
+        assert tuple(got) == (100_000, 0, 99_999)
+        assert corpus.within_budget(rows, "n", 100_001).count() == 50_000
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", "true")
+
+
 def test_scopes_are_a_boundary(spark):
     rows = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, " ", [1.0, 0.0]), (3, None, [0.0, 1.0])], "id int, scope string, vector array<double>")
     ids = lambda df: sorted(r["id"] for r in df.collect())

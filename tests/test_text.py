@@ -107,6 +107,7 @@ def test_code_examples_and_swaps(spark):
 def test_parsers():
     assert parse_pairs('x [{"q": "a?", "a": "b"}, {"q": "", "a": "c"}] y') == [("a?", "b")]
     assert parse_pairs("Q: one?\nA: first\nmore\nQ: two?\nA: second") == [("one?", "first more"), ("two?", "second")]
+    assert parse_pairs("Q1: one?\nA1: first\nquestion 2 - two?\nANSWER -\nbelow\nq. three?\na. third") == [("one?", "first"), ("two?", "below"), ("three?", "third")]
     import struct
 
     s = lambda t: struct.pack("<Q", len(t)) + t
