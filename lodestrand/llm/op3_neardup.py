@@ -44,7 +44,7 @@ TREE_DEVIATIONS = 2.0
 NO_ID = 2**63 - 1
 LEVELS = 3  # levels of a tree between two looks at the nodes' sizes
 MOST_LEVELS = 12
-CLOSING = 4  # rounds, at most, of nearest partners
+CLOSING = 2  # rounds, at most, of nearest partners; more of them found next to nothing
 SMALL = 200  # documents of a node that are compared exhaustively
 
 
