@@ -37,7 +37,7 @@ def stubless(t) -> DataFrame:
 
 
 def chunked(t) -> DataFrame:
-    return corpus.chunks(stubless(t), "source", "doc_id", paragraphs=False)
+    return corpus.chunks(stubless(t), "source", "doc_id")
 
 
 #: SQL that several queries share: trimmed text, windows, and the chunks kept of equal ones.

@@ -38,9 +38,26 @@ def test_query_equals_its_sql(spark, duck, name):
     assert got == sorted((tuple(plain(r[i]) for i in at) for r in found.fetchall()), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL) - {"preference_rows"}))
-def test_other_queries_run(spark, name):
-    assert registry.QUERIES[name](spark, DATA).schema.fields
+#: Rows that each query without SQL has for every row of its table, where it has one for each.
+EACH = {"html_markdown": "pages", "entity_swap": "documents", "finalized_turns": "conversations"}
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
+def test_other_queries_give_whole_rows(spark, duck, name):
+    df = registry.QUERIES[name](spark, DATA)
+    rows = df.collect()
+    assert rows and all(len(r) == len(df.columns) for r in rows)
+    if name in EACH:
+        assert len(rows) == duck.execute(f"SELECT count(*) FROM {EACH[name]}").fetchone()[0]
+
+
+def test_chunks_follow_paragraphs(spark, tmp_path):
+    text = "\n\n".join(c * 900 for c in "abcde")
+    spark.createDataFrame([(1, text, "s"), (2, "x" * 2500, "s")], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [(r["position"], r["ordinal"], r["text"]) for r in registry.QUERIES["chunk_windows"](spark, str(tmp_path)).orderBy("position", "ordinal").collect()]
+    # two paragraphs fit in 2,000 characters; a window begins with the last 200 of the one before
+    windows = ["a" * 900 + "\n\n" + "b" * 900, "b" * 200 + "\n\n" + "c" * 900, "c" * 200 + "\n\n" + "d" * 900, "d" * 200 + "\n\n" + "e" * 900]
+    assert got == [*((1, i, w) for i, w in enumerate(windows)), (2, 0, "x" * 2000), (2, 1, "x" * 700)]
 
 
 def test_dedup_does_not_depend_on_partitions(spark):
