@@ -15,7 +15,9 @@ union are linked. Equal sets are one vertex, so copies cost one row. Over the di
   components. Nodes that are too large for that branch further; what cannot be split is compared
   in blocks.
 * A *sketch* of all minwise hashes drops pairs that are more than ``DEVIATIONS`` standard deviations below
-  the threshold; every link is then confirmed on the full sets.
+  the threshold. Beside it lie the *parities* of the set's hashes in ``PARITIES`` bins: bins whose parities
+  differ each hold an element of one set alone, so they bound the sets' difference from below and
+  drop pairs that cannot be links, without loss. Every link is then confirmed on the full sets.
 
 Links, labels and fingerprints stay in Spark tables throughout.
 
@@ -39,6 +41,8 @@ from .storage import Scratch
 from .text import U, grams, mix, pair, pieces, word_hashes, words
 
 COORDINATES = 256
+PARITIES = 1024
+WIDTH = COORDINATES + PARITIES // 32  # 32-bit numbers of a sketch with its parities
 DEVIATIONS = 5.0
 TREE_DEVIATIONS = 2.0
 NO_ID = 2**63 - 1
@@ -79,6 +83,27 @@ def minwise(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return low
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """Whether each bin holds an odd number of the set's hashes, as bits."""
+    odd = np.bincount((s % U(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint32)
+
+
+def sketches(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, WIDTH)
+
+
+def possible(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
+    """Pairs that the sketches, the sets' sizes and their parities do not rule out as links."""
+    percent, y = round(threshold * 100), np.broadcast_to(y, x.shape)
+    agree = (x[:, :COORDINATES] == y[:, :COORDINATES]).sum(axis=1)
+    ok = (agree >= least_agreement(threshold)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+    at = np.flatnonzero(ok)
+    apart = np.bitwise_count(x[at, COORDINATES:] ^ y[at, COORDINATES:]).sum(axis=1, dtype=np.int64)
+    ok[at] = apart * (100 + percent) <= (n + m)[at] * (100 - percent)
+    return np.where(ok, agree, -1)
+
+
 def coordinates() -> tuple[np.ndarray, np.ndarray]:
     at = np.arange(COORDINATES, dtype=U)
     return (mix(at + U(7)) | U(1)).astype(np.uint32), mix(at + U(1007)).astype(np.uint32)
@@ -94,7 +119,7 @@ def signatures(docs: DataFrame, k: int, text: str, doc_id: str) -> DataFrame:
             for part in pieces(batch, "text"):
                 rows = []
                 for i, s in zip(part.column("id").to_pylist(), shingle_sets(part.column("text"), k), strict=True):
-                    rows.append((i, len(s), key_of(s), minwise(s, a, b).tobytes()) if len(s) else (i, 0, None, None))
+                    rows.append((i, len(s), key_of(s), minwise(s, a, b).tobytes() + parities(s).tobytes()) if len(s) else (i, 0, None, None))
                 yield to_batch(rows, SIGNED)
 
     return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text")).mapInArrow(sign, SIGNED)
@@ -127,7 +152,7 @@ def branch(rows: DataFrame, threshold: float, trees: int = 0, levels: int = LEVE
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(-1, COORDINATES)
+            sketch = sketches(batch.column("sketch"))
             n = len(sketch)
             if trees:
                 path, member = np.repeat(mix(np.arange(trees, dtype=U) + U(77)), n), np.tile(np.arange(n), trees)
@@ -145,15 +170,13 @@ def least_agreement(threshold: float) -> float:
 
 
 def likely(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b, n_a, n_b, s_a, s_b) whose sketches do not rule the link out."""
-    least = least_agreement(threshold)
+    """Pairs (a, b, n_a, n_b, s_a, s_b) that may be links."""
 
     def keep(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, COORDINATES) for c in ("s_a", "s_b"))
+            x, y = (sketches(batch.column(c)) for c in ("s_a", "s_b"))
             n, m = (np.asarray(batch.column(c)) for c in ("n_a", "n_b"))
-            ok = ((x == y).sum(axis=1) >= least) & (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
+            yield batch.select(["a", "b"]).filter(pa.array(possible(x, y, n, m, threshold) >= 0))
 
     return pairs.mapInArrow(keep, "a binary, b binary")
 
@@ -206,23 +229,21 @@ def sized(nodes: DataFrame) -> DataFrame:
 def across(rows: DataFrame, groups: list[str], threshold: float, nearest: bool = False) -> DataFrame:
     """Likely pairs across components within each group of at most a few hundred rows: all of them,
     or (with the agreement) for each row a only the one whose sketch agrees most."""
-    least = least_agreement(threshold)
 
     def compare(t: pa.Table) -> pa.Table:
-        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint32).reshape(-1, COORDINATES)
+        sketch = sketches(t.column("sketch"))
         _, label = np.unique(np.array(t.column("label").to_pylist(), object), return_inverse=True)
         n, key = np.asarray(t.column("n")), t.column("key").to_pylist()
         out = []
         for i in range(len(key)):
             rest = slice(0 if nearest else i + 1, None)
-            agree = (sketch[rest] == sketch[i]).sum(axis=1)
-            ok = (agree >= least) & (label[rest] != label[i])
-            ok &= np.minimum(n[rest], n[i]) >= threshold * np.maximum(n[rest], n[i]) - 1e-9
-            at = np.flatnonzero(ok) + rest.start
+            other = np.flatnonzero(label[rest] != label[i]) + rest.start
+            agree = possible(sketch[other], sketch[i : i + 1], n[other], n[i : i + 1], threshold)
             if nearest:
-                out += [(key[i], key[j], int(agree[j])) for j in at[np.argsort(-agree[at], kind="stable")[:1]].tolist()]
+                if len(other) and agree.max() >= 0:
+                    out.append((key[i], key[other[agree.argmax()]], int(agree.max())))
             else:
-                out += [(min(key[i], key[j]), max(key[i], key[j])) for j in at.tolist()]
+                out += [(min(key[i], key[j]), max(key[i], key[j])) for j in other[agree >= 0].tolist()]
         return pa.Table.from_batches([to_batch(out, schema)])
 
     schema = "a binary, b binary, agree int" if nearest else "a binary, b binary"

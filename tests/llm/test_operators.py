@@ -173,6 +173,29 @@ def test_op3_equals_brute_force(spark, docs, empty, percent):
         assert kept.columns == docs.columns and kept.filter("doc_id = 78").count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 7, 60, 400, 3000])
+def test_op3_parities_rule_out_no_link(size):
+    rng = np.random.default_rng(size)
+    a, b = op3_neardup.coordinates()
+    signed = lambda s: np.concatenate([op3_neardup.minwise(s, a, b), op3_neardup.parities(s)])
+    apart = 0
+    for threshold in (0.8, 0.85):
+        for _ in range(60):
+            x = rng.integers(0, 2**64, size, dtype=np.uint64)
+            lost = int(rng.integers(0, size // 4 + 1))
+            y = np.concatenate([x[lost:], rng.integers(0, 2**64, int(rng.integers(0, size // 4 + 1)), dtype=np.uint64)])
+            common, union = size - lost, len(y) + lost
+            p, q = signed(x), signed(y)
+            got = op3_neardup.possible(p[None], q[None], np.array([len(x)]), np.array([len(y)]), threshold)[0] >= 0
+            # only the sketch may err, and only beyond its deviations
+            if 100 * common >= round(100 * threshold) * union and (p[: op3_neardup.COORDINATES] == q[: op3_neardup.COORDINATES]).sum() >= op3_neardup.least_agreement(threshold):
+                assert got
+            if 400 >= size >= 60 and common < (threshold - 0.06) * union:
+                apart += not got
+                assert not got
+    assert apart or not 400 >= size >= 60
+
+
 @pytest.mark.parametrize("threshold", [0.8, 0.85])
 @pytest.mark.parametrize("levels", [op3_neardup.LEVELS, op3_neardup.MOST_LEVELS])
 def test_op3_trees_reach_their_recall(threshold, levels):
