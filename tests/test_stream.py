@@ -7,8 +7,10 @@ def test_guarded_stream_retracts_once(spark, tmp_path):
     rows = [("loop", i, f"{words[i % 8]} ") for i in range(120)] + [("fine", i, f"word{i} ") for i in range(120)]
     spark.createDataFrame(rows, "stream_id string, seq long, piece string").repartition(1).write.parquet(str(tmp_path / "in"))
     pieces = spark.readStream.schema("stream_id string, seq long, piece string").parquet(str(tmp_path / "in"))
+    # states that time out ask for one empty batch after another, so that the run would not end
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     out = guard.guarded(pieces).writeStream.format("memory").queryName("events").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    out.awaitTermination(90)
+    assert out.awaitTermination(60)
     events = spark.table("events").collect()
     retracted = [r for r in events if r["event"] == "retract"]
     assert [r["stream_id"] for r in retracted] == ["loop"] and retracted[0]["text"].endswith(guard.FALLBACK)
