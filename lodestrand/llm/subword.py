@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import to_batch
+from .exchange import expand, squeeze, to_batch
 from .text import U, pieces, raw, word_hashes, words
 
 BUCKETS = 1 << 17
@@ -109,6 +109,8 @@ def labelled_sample(rows: DataFrame, counts: dict[str, int], sample: int) -> Dat
 
 
 def features(rows: DataFrame) -> DataFrame:
+    """Each row's distinct buckets, as differences, and how often each occurs; both squeezed."""
+
     def make(batches):
         for batch in batches:
             for part in pieces(batch, "text", SLICE):
@@ -116,7 +118,7 @@ def features(rows: DataFrame) -> DataFrame:
                 out = []
                 for i, (label, pick) in enumerate(zip(part.column("label").to_pylist(), part.column("pick").to_pylist(), strict=True)):
                     found, n = np.unique(np.concatenate([b[f[i] : f[i + 1]] for b, f in runs]), return_counts=True)
-                    out.append((label, pick, found.astype(np.int32).tobytes(), n.astype(np.float32).tobytes()))
+                    out.append((label, pick, squeeze(np.diff(found.astype(np.int32), prepend=np.int32(0))), squeeze(n.astype(np.uint32))))
                 yield to_batch(out, FEATURES)
 
     return rows.mapInArrow(make, FEATURES)
@@ -183,12 +185,12 @@ def fit(rows: DataFrame, sample: int = SAMPLE, **settings) -> tuple[Model, list]
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), np.float64(1), np.zeros(0)), []
     prior = np.array([counts[c] for c in classes], float)
     each = max(1, sample // len(classes))
-    found = sorted((tuple(r) for r in features(labelled_sample(rows, counts, sample)).collect()), key=lambda r: (r[1], r[0], r[2]))
+    found = sorted((tuple(r) for r in features(labelled_sample(rows, counts, sample)).collect()), key=lambda r: (r[1], r[0]))
     got, taken = [], dict.fromkeys(classes, 0)
     for r in found:  # the least picks of each label, as many as the bound says
         if taken[r[0]] < each:
             taken[r[0]] += 1
-            got.append(r)
+            got.append((*r[:2], np.cumsum(expand(r[2], np.int32), dtype=np.int32).tobytes(), expand(r[3], np.uint32).astype(np.float32).tobytes()))
     return train(got, classes, prior / prior.sum(), **settings), got
 
 
