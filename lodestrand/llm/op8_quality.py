@@ -16,6 +16,7 @@ from . import subword
 from .storage import Scratch
 
 CUT = 0.3
+MOST_BROADCAST = 100_000  # rows of id and label
 
 
 def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn: Column | None = None, label: str = "quality", text: str = "text", doc_id: str = "doc_id", sample: int = subword.SAMPLE) -> DataFrame:
@@ -24,7 +25,14 @@ def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn: Colu
     learn = F.lit(True) if learn is None else learn
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     marks = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").cast("string").alias("label")).filter("label IN ('0', '1')").distinct()
-    model, _ = subword.fit(rows.filter("learn").select("id", "text").join(marks, "id"), sample)
+    # labelled ids are chosen first, so that no text moves but theirs
+    learning = rows.filter("learn").select("id", "text")
+    named = learning.select("id").join(marks, "id")
+    counts = {r[0]: r[1] for r in named.groupBy("label").count().collect()}
+    chosen = Scratch(spark, "quality").write(named.filter(subword.marked(counts, sample)).distinct(), "chosen")
+    if chosen.count() <= MOST_BROADCAST:
+        chosen = F.broadcast(chosen)
+    model, _ = subword.fit(learning.join(chosen, "id"), sample, counts)
     out = subword.predict(rows.select("id", (~F.col("learn")).alias("held_out"), "text"), model, ["id", "held_out"])
     if model.classes == ["0", "1"]:
         score = F.least(F.greatest(F.col("last"), F.lit(0.0)), F.lit(1.0))

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import expand, squeeze, to_batch
@@ -94,17 +94,22 @@ def softmax(x: np.ndarray) -> np.ndarray:
 FEATURES = "label string, pick long, buckets binary, counts binary"
 
 
-def labelled_sample(rows: DataFrame, counts: dict[str, int], sample: int) -> DataFrame:
-    """About sample / classes rows (label, pick, text) a label, and at least that many where there
-    are, but for a chance of one in ten thousand: those whose ``pick``, a hash of the id, is below a
-    mark that the label's number of rows gives. Of rows that repeat id and label one stays. Nothing
-    is sorted or dealt by label, so a label of most rows is no hot key."""
+def marked(counts: dict[str, int], sample: int) -> Column:
+    """Whether a row's (id, label) is below its label's mark."""
     each = max(1, sample // max(len(counts), 1))
     pick, mark = F.xxhash64("id"), F.lit(False)
     for label, n in counts.items():
         share = min(1.0, (each + 4 * each**0.5 + 8) / n)
         mark = F.when(F.col("label") == label, pick <= int(-(2**63) + share * (2**64 - 2**11))).otherwise(mark)
-    chosen = rows.filter(mark).select("label", pick.alias("pick"), "text")
+    return mark
+
+
+def labelled_sample(rows: DataFrame, counts: dict[str, int], sample: int) -> DataFrame:
+    """About sample / classes rows (label, pick, text) a label, and at least that many where there
+    are, but for a chance of one in ten thousand: those whose ``pick``, a hash of the id, is below a
+    mark that the label's number of rows gives. Of rows that repeat id and label one stays. Nothing
+    is sorted or dealt by label, so a label of most rows is no hot key."""
+    chosen = rows.filter(marked(counts, sample)).select("label", F.xxhash64("id").alias("pick"), "text")
     return chosen.groupBy("label", "pick").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
 
 
@@ -177,9 +182,11 @@ def calibrate(z: np.ndarray, y: np.ndarray, prior: np.ndarray, rounds: int = 300
     return np.float64(scale / spread), shift - shift.mean()
 
 
-def fit(rows: DataFrame, sample: int = SAMPLE, **settings) -> tuple[Model, list]:
-    """Learn from rows (id, label, text), label a non-null string; the model and the sample's features."""
-    counts = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
+def fit(rows: DataFrame, sample: int = SAMPLE, counts: dict[str, int] | None = None, **settings) -> tuple[Model, list]:
+    """Learn from rows (id, label, text), label a non-null string; the model and the sample's features.
+    counts: rows of each label, where ``rows`` hold only those chosen."""
+    if counts is None:
+        counts = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
     classes = sorted(counts)
     if not classes:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), np.float64(1), np.zeros(0)), []
