@@ -95,10 +95,10 @@ def clear_of_base(spans: DataFrame) -> DataFrame:
 
 def character_counts(docs: DataFrame, text: str) -> dict[str, int]:
     """How often each character of the alphabets stands in all texts."""
-    characters = UP + LOW + DIGITS + "+/-_"
-    t = F.coalesce(F.col(text), F.lit(""))
-    each = F.transform(F.array(*map(F.lit, characters)), lambda c: F.struct(c.alias("c"), (F.octet_length(t) - F.octet_length(F.replace(t, c))).cast("long").alias("n")))
-    return {r["c"]: r["n"] for r in docs.select(F.explode(each).alias("x")).groupBy("x.c").agg(F.sum("x.n").alias("n")).collect()}
+    # pieces, so that a long text is never a list of all its characters
+    pieces = docs.select(F.explode(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit("(?s).{1,4096}"), F.lit(0))).alias("piece"))
+    counts = pieces.select(F.explode(F.split("piece", "")).alias("c")).filter(F.col("c").isin(*UP, *LOW, *DIGITS, *"+/-_")).groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    return {r["c"]: r["n"] for r in counts.collect()}
 
 
 def frequencies(counts: dict[str, int]) -> list[tuple[float, float]]:
@@ -124,22 +124,24 @@ def tail(z: Column) -> Column:
     return F.when(z >= 0, upper).otherwise(1 - upper)
 
 
-def symbols(tokens: DataFrame) -> DataFrame:
-    """Adds encoding (its number), n, k and v: the token's symbols as numbers. Tokens of no encoding go."""
+def encoded(tokens: DataFrame) -> DataFrame:
+    """Adds encoding (its number), its alphabet, bare (the token as that writes it), n and k, the lengths of
+    both. Tokens of no encoding go."""
     bare = F.regexp_replace("token", "=+$", "")
     of = F.coalesce(*[F.when(bare.rlike(look), F.lit(i)) for i, (_, _, look, _) in enumerate(ENCODINGS)])
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("encoding") + 1)
-    rows = tokens.withColumn("bare", bare).withColumn("encoding", of).filter("encoding IS NOT NULL")
-    alphabet, folded = pick([e[1] for e in ENCODINGS]), pick([e[3] for e in ENCODINGS])
-    rows = rows.withColumn("alphabet", alphabet).withColumn("bare", F.when(folded, F.lower("bare")).otherwise(F.col("bare")))
-    v = F.transform(F.split("bare", "(?<=.)(?=.)"), lambda c: F.instr(F.col("alphabet"), c) - 1)
-    return rows.withColumn("v", v).withColumn("n", F.size("v").cast("double")).withColumn("k", F.char_length("alphabet").cast("double")).drop("alphabet", "bare")
+    rows = tokens.withColumn("encoding", of).filter("encoding IS NOT NULL").withColumn("alphabet", pick([e[1] for e in ENCODINGS]))
+    rows = rows.withColumn("bare", F.when(pick([e[3] for e in ENCODINGS]), F.lower(bare)).otherwise(bare))
+    return rows.withColumns({"n": F.char_length("bare").cast("double"), "k": F.char_length("alphabet").cast("double")})
 
 
 def tested(tokens: DataFrame, known: list[tuple[float, float]]) -> DataFrame:
-    """Adds random (Fisher's combined tail of the three tests) and written (the tail under writing)."""
+    """Adds random (Fisher's combined tail of the three tests) and written (the tail under writing).
+
+    tokens: what ``encoded`` gave, written, as what a lambda refers to is computed for each symbol."""
     n, k = F.col("n"), F.col("k")
     pick = lambda i: F.element_at(F.array(*[F.lit(x[i]) for x in known]), F.col("encoding") + 1)
+    v = F.transform(F.split("bare", ""), lambda c: F.instr(F.col("alphabet"), c) - 1)
     # equal pairs: in sorted order each symbol makes a pair with every equal one before it
     zero = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("pairs"))
 
@@ -147,36 +149,39 @@ def tested(tokens: DataFrame, known: list[tuple[float, float]]) -> DataFrame:
         run = F.when(x == acc["last"], acc["run"] + 1.0).otherwise(F.lit(0.0))
         return F.struct(x.alias("last"), run.alias("run"), (acc["pairs"] + run).alias("pairs"))
 
-    pairs = F.aggregate(F.array_sort("v"), zero, count, lambda a: a["pairs"])
-    mean = F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / n
-    rows = tokens.withColumns({"pairs": pairs, "mean": mean})
-    start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("high"), F.lit(0.0).alias("runs"), F.lit(0.0).alias("next"), F.lit(0.0).alias("square"))
+    start = F.struct(F.lit(-1).alias("last"), F.lit(-1).alias("first"), k.alias("k"), *[F.lit(0.0).alias(c) for c in ("high", "runs", "sum", "squares", "next")])
 
     def walk(acc: Column, x: Column) -> Column:
-        up, before = x * 2 >= k, acc["last"] * 2 >= k
-        new = (acc["last"] < 0) | (up != before)
-        off = x - F.col("mean")
-        follows = F.when(acc["last"] < 0, F.lit(0.0)).otherwise((acc["last"] - F.col("mean")) * off)
-        return F.struct(x.alias("last"), (acc["high"] + up.cast("double")).alias("high"), (acc["runs"] + new.cast("double")).alias("runs"), (acc["next"] + follows).alias("next"), (acc["square"] + off * off).alias("square"))
-
-    rows = rows.withColumn("w", F.aggregate("v", start, walk)).drop("v")
-    df = k - 1
-    chi = k / n * (2 * F.col("pairs") + n) - n
-    z_chi = (F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-    high = F.col("w.high")
+        begins = acc["last"] < 0
+        up = x * 2 >= acc["k"]
+        new = begins | (up != (acc["last"] * 2 >= acc["k"]))
+        first = F.when(begins, x).otherwise(acc["first"])
+        follows = F.when(begins, F.lit(0)).otherwise(acc["last"] * x)
+        return F.struct(x.alias("last"), first.alias("first"), acc["k"].alias("k"), (acc["high"] + up.cast("double")).alias("high"), (acc["runs"] + new.cast("double")).alias("runs"), (acc["sum"] + x).alias("sum"), (acc["squares"] + x * x).alias("squares"), (acc["next"] + follows).alias("next"))
+
+    rows = tokens.withColumns({"pairs": F.aggregate(F.array_sort(v), zero, count, lambda a: a["pairs"]), "w": F.aggregate(v, start, walk)})
+    # sums of whole numbers, so what is left of them after the mean is exact for tokens of some thousand symbols
+    mean = F.col("w.sum") / n
+    square = F.col("w.squares") - mean * F.col("w.sum")
+    follows = F.col("w.next") - mean * (2 * F.col("w.sum") - F.col("w.first") - F.col("w.last")) + (n - 1) * mean * mean
+    rows = rows.withColumns({"square": F.when(F.col("pairs") < n * (n - 1) / 2, square).otherwise(F.lit(0.0)), "follows": follows})
+    # each step is columns of its own, as a column that is used often is not written out again
+    df, high = k - 1, F.col("w.high")
     both = 2 * high * (n - high)
-    spread = both * (both - n) / (n * n * (n - 1))
+    rows = rows.withColumns({"chi": k / n * (2 * F.col("pairs") + n) - n, "both": both, "spread": both * (both - n) / (n * n * (n - 1))})
     none = F.lit(40.0)  # symbols that do not vary
-    z_runs = F.when(spread > 0, (F.col("w.runs") - both / n - 1) / F.sqrt(F.when(spread > 0, spread))).otherwise(none)
-    z_next = F.when(F.col("w.square") > 0, (F.col("w.next") / F.when(F.col("w.square") > 0, F.col("w.square")) + 1 / n) * F.sqrt(n)).otherwise(none)
-    least = F.lit(1e-300)
-    logs = sum(F.log(F.greatest(p, least)) for p in (tail(z_chi), F.least(F.lit(1.0), 2 * tail(F.abs(z_runs))), F.least(F.lit(1.0), 2 * tail(F.abs(z_next)))))
-    fisher = F.exp(logs) * (1 - logs + logs * logs / 2)
+    z_chi = (F.pow(F.greatest(F.col("chi"), F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+    z_runs = F.when(F.col("spread") > 0, (F.col("w.runs") - F.col("both") / n - 1) / F.sqrt(F.col("spread"))).otherwise(none)
+    z_next = F.when(F.col("square") > 0, (F.col("follows") / F.col("square") + 1 / n) * F.sqrt(n)).otherwise(none)
     s, t = pick(0), pick(1)
     expected, variance = n * (n - 1) / 2 * s, n * (n - 1) / 2 * s * (1 - s) + n * (n - 1) * (n - 2) * F.greatest(t - s * s, F.lit(0.0))
-    written = 1 - tail((F.col("pairs") - expected) / F.sqrt(F.greatest(variance, F.lit(1e-9))))
-    below = tail((expected - F.col("pairs")) / F.sqrt(F.greatest(variance, F.lit(1e-9))))
-    return rows.withColumn("random", fisher).withColumn("written", F.when(F.col("pairs") < expected, below).otherwise(written)).drop("w", "pairs", "mean")
+    z_written = (expected - F.col("pairs")) / F.sqrt(F.greatest(variance, F.lit(1e-9)))
+    rows = rows.withColumns({"z_chi": z_chi, "z_runs": F.abs(z_runs), "z_next": F.abs(z_next), "z_written": z_written})
+    rows = rows.withColumns({"p_chi": tail(F.col("z_chi")), "p_runs": tail(F.col("z_runs")), "p_next": tail(F.col("z_next")), "written": tail(F.col("z_written"))})
+    least = F.lit(1e-300)
+    logs = F.log(F.greatest("p_chi", least)) + F.log(F.greatest(F.least(F.lit(1.0), 2 * F.col("p_runs")), least)) + F.log(F.greatest(F.least(F.lit(1.0), 2 * F.col("p_next")), least))
+    rows = rows.withColumn("logs", logs).withColumn("random", F.exp("logs") * (1 - F.col("logs") + F.col("logs") * F.col("logs") / 2))
+    return rows.drop("w", "pairs", "square", "follows", "chi", "both", "spread", "z_chi", "z_runs", "z_next", "z_written", "p_chi", "p_runs", "p_next", "logs", "alphabet", "bare")
 
 
 def discovered(tests: DataFrame) -> DataFrame:
@@ -199,7 +204,8 @@ def scan(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str
     scanned = scratch.write(matches(docs, doc_id, text), "matches")
     spans = scratch.write(located(scanned), "spans")
     base = spans.filter(F.col("kind") < len(BASE))
-    tests = scratch.write(tested(symbols(clear_of_base(spans)), frequencies(character_counts(docs, text))), "tests")
+    tokens = scratch.write(encoded(clear_of_base(spans)), "tokens")
+    tests = scratch.write(tested(tokens, frequencies(character_counts(docs, text))), "tests")
     named = F.element_at(F.array(*[F.lit(e[0]) for e in ENCODINGS]), F.col("encoding") + 1)
     added = discovered(tests).select("row", "kind", "start", "end", "token", named.alias("encoding"), "random", "written")
     return scanned.select("row", "doc_id"), base.unionByName(added, allowMissingColumns=True)
