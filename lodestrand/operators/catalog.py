@@ -43,10 +43,16 @@ def budget_gb() -> Column:
 def requirements(entries: DataFrame, library: DataFrame) -> DataFrame:
     """Each entry with the first known value of: its own, the library's by one of its names, its file's size.
 
-    entries: id, base, webllm, onnx, gguf, gguf_bytes and own_* columns; library: name (lower case),
-    vram_bytes, min_memory_gb, tier, mobile_ok, cpu_ok."""
+    entries: id, base, webllm, onnx, gguf, gguf_bytes and what an entry says itself, own_vram_bytes and
+    own_min_memory_gb and, if it says so, own_tier, own_needs_webgpu, own_mobile_ok, own_cpu_ok; library: name
+    (lower case), vram_bytes, min_memory_gb, tier, mobile_ok, cpu_ok and, if it is not the contrary of
+    cpu_ok, needs_webgpu."""
+    said = {"own_tier": "string", "own_needs_webgpu": "boolean", "own_mobile_ok": "boolean", "own_cpu_ok": "boolean"}
+    entries = entries.withColumns({c: F.lit(None).cast(kind) for c, kind in said.items() if c not in entries.columns})
+    if "needs_webgpu" not in library.columns:
+        library = library.withColumn("needs_webgpu", ~F.col("cpu_ok"))
     names = entries.select("id", F.posexplode(F.array("base", "id", "webllm", "onnx", "gguf")).alias("priority", "name")).filter("name IS NOT NULL").withColumn("name", F.lower("name"))
-    hit = names.join(library.withColumn("name", F.lower("name")), "name").groupBy("id").agg(F.min_by(F.struct("vram_bytes", "min_memory_gb", "tier", "mobile_ok", "cpu_ok"), "priority").alias("lib"))
+    hit = names.join(library.withColumn("name", F.lower("name")), "name").groupBy("id").agg(F.min_by(F.struct("vram_bytes", "min_memory_gb", "tier", "mobile_ok", "cpu_ok", "needs_webgpu"), "priority").alias("lib"))
     e = entries.join(hit, "id", "left")
     from_file = F.round(F.col("gguf_bytes") * 1.3)
     vram = F.coalesce(F.nullif("own_vram_bytes", F.lit(0)), F.col("lib.vram_bytes"), from_file)
@@ -56,10 +62,10 @@ def requirements(entries: DataFrame, library: DataFrame) -> DataFrame:
         *[c for c in entries.columns if not c.startswith("own_")],
         "vram_bytes",
         F.coalesce(F.nullif("own_min_memory_gb", F.lit(0)), F.col("lib.min_memory_gb"), F.when(F.col("vram_bytes").isNotNull(), memory_gb(F.col("vram_bytes"))), F.lit(2)).cast("int").alias("min_memory_gb"),
-        F.coalesce(F.col("lib.tier"), tier(F.coalesce("vram_bytes", F.lit(2e9)))).alias("tier"),
-        F.coalesce(~F.col("lib.cpu_ok"), room > 1e9).alias("needs_webgpu"),
-        F.coalesce(F.col("lib.mobile_ok"), room < 1.5e9).alias("mobile_ok"),
-        F.coalesce(F.col("lib.cpu_ok"), room < 1e9).alias("cpu_ok"),
+        F.coalesce("own_tier", "lib.tier", tier(F.coalesce("vram_bytes", F.lit(2e9)))).alias("tier"),
+        F.coalesce("own_needs_webgpu", "lib.needs_webgpu", room > 1e9).alias("needs_webgpu"),
+        F.coalesce("own_mobile_ok", "lib.mobile_ok", room < 1.5e9).alias("mobile_ok"),
+        F.coalesce("own_cpu_ok", "lib.cpu_ok", room < 1e9).alias("cpu_ok"),
         F.when(F.col("own_min_memory_gb") > 0, "explicit").when(F.col("lib").isNotNull(), "library").when(F.col("gguf_bytes").isNotNull(), "artifact-size").otherwise("unknown").alias("known_by"),
     )
 

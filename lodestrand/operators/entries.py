@@ -81,13 +81,3 @@ def all_prompts(memory: DataFrame, general: DataFrame, conversation: DataFrame)
 def with_documents(chunks: DataFrame, more: DataFrame, scope: str) -> DataFrame:
     """An index's chunks and a session's own, which are in the session's scope alone."""
     return chunks.unionByName(more.withColumn("scope", F.lit(scope)), allowMissingColumns=True)
-
-
-def tool_instruction(names: list[str]) -> str:
-    """How a model is told to call a tool; empty without tools."""
-    if not names:
-        return ""
-    return (
-        'To act for the visitor with one of these tools, answer with nothing but the line <tool>name</tool>{"argument":"value"}. '
-        f"Tools: {', '.join(names)}. Ask for a detail that is missing; do not make up names or addresses."
-    )

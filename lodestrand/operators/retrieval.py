@@ -153,21 +153,6 @@ def cited(answer: Column, found: Column) -> Column:
     return F.when(F.size(found) > 0, F.transform(fresh, lambda r: r.dropFields("same"))).otherwise(F.array().cast("array<struct<n:int,title:string,url:string>>"))
 
 
-def tool_call(answer: Column, tools: list[str]) -> Column:
-    """Struct (tool, args, error) of the one tool call that an answer may hold: <tool:name>{json}</tool>."""
-    calls = F.regexp_extract_all(X.text(answer), F.lit(r"(?s)<tool:([A-Za-z0-9_-]+)>(.*?)</tool>"), F.lit(1))
-    bodies = F.regexp_extract_all(X.text(answer), F.lit(r"(?s)<tool:([A-Za-z0-9_-]+)>(.*?)</tool>"), F.lit(2))
-    name, body = F.get(calls, F.lit(0)), X.trim(F.get(bodies, F.lit(0)))
-    parsed = F.try_parse_json(body)
-    error = F.when(F.size(calls) == 0, F.lit(None)).when(F.size(calls) > 1, "more than one tool call").when(~name.isin(tools), F.concat(F.lit("unknown tool "), name)).when(parsed.isNull(), "arguments are not JSON").when(~body.startswith("{"), "arguments are not an object")
-    good = (F.size(calls) == 1) & error.isNull()
-    return F.struct(F.when(good, name).alias("tool"), F.when(good, body).alias("args"), error.cast("string").alias("error"))
-
-
-def without_tools(answer: Column) -> Column:
-    return X.trim(F.regexp_replace(X.text(answer), r"(?s)<tool:[A-Za-z0-9_-]+>.*?</tool>", ""))
-
-
 @dataclass(frozen=True)
 class LexicalEmbedder:
     """fit gives the idf table of a corpus; embed the sparse vectors under it."""

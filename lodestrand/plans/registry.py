@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.markdown import html_to_markdown
-from ..operators import blend, catalog, corpus, evaluation, qa, retrieval
+from ..operators import blend, catalog, corpus, evaluation, qa, retrieval, tools
+from ..sources import files
 from ..session import attach
 from ..streaming import guard
 
@@ -401,3 +402,45 @@ def finalized_turns(spark, t):
 def source_urls(spark, t):
     return t("conversations").select("conv_id", "turn", X.source_url(F.concat(F.lit("docs/"), F.when(F.col("role") == "user", "u").otherwise("a"), F.lit(".md"))).alias("url"))
 
+
+
+@query(rf"""WITH {WINDOWS}, s AS (SELECT 'lexical-512' || string_agg(source || '#' || position || '#' || ordinal || ':' || length(text) || ':', '' ORDER BY position, ordinal) AS s, count(*) AS n FROM c),
+h AS (SELECT n, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(s, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda h, b: (xor(h, b) * 16777619) % 4294967296) AS h FROM s)
+SELECT 'rag:' || ltrim(array_to_string(list_transform(range(6, -1, -1), lambda i: substr('0123456789abcdefghijklmnopqrstuvwxyz', CAST(h // CAST(pow(36, i) AS BIGINT) % 36 AS INTEGER) + 1, 1)), ''), '0') || ':' || n AS key FROM h""")
+def index_cache_key(spark, t):
+    chunks = chunked(t).withColumn("id", F.concat_ws("#", "source", F.col("position").cast("string"), F.col("ordinal").cast("string")))
+    return chunks.sparkSession.createDataFrame([(files.index_key(chunks, "lexical-512", ["position", "ordinal"]),)], "key string")
+
+
+#: Answers of conversations with calls of five kinds put in, by their turn.
+ANSWERS = """CASE turn % 5 WHEN 0 THEN text || '<tool> Order</tool> {"turn":' || turn || '}' WHEN 1 THEN text || chr(10) || '<TOOL>' || role || '</TOOL>' WHEN 2 THEN '<tool>order</tool>[1] ' || text
+WHEN 3 THEN '<tool>order</tool>{"turn":}' || text ELSE '<tool>a</tool>' || text || '<tool>b</tool>{}' END"""
+CALLED = r"(?i)<tool>\s*([a-z0-9_.-]+)\s*</tool>\s*(\{[^}]*\}|\[[^\]]*\])?"
+
+
+@query(rf"""WITH a AS (SELECT conv_id, turn, {ANSWERS} AS answer FROM conversations),
+m AS (SELECT *, regexp_extract_all(answer, '{CALLED}', 1) AS names, regexp_extract_all(answer, '{CALLED}', 2) AS bodies FROM a),
+e AS (SELECT *, lower(names[1]) AS name, coalesce(bodies[1], '') AS body, CASE WHEN len(names) > 1 THEN 'more than one tool call in one reply (' || len(names) || ')' WHEN lower(names[1]) NOT IN ('order', 'user') THEN 'tool "' || lower(names[1]) || '" is not available'
+ WHEN bodies[1] <> '' AND NOT json_valid(bodies[1]) THEN 'tool arguments were not valid JSON' WHEN bodies[1] LIKE '[%' THEN 'tool arguments must be an object' END AS error FROM m)
+SELECT conv_id, turn, CASE WHEN error IS NULL THEN name END AS tool, CASE WHEN error IS NULL THEN CASE body WHEN '' THEN '{{}}' ELSE body END END AS args, error,
+ length(regexp_replace(regexp_replace(regexp_replace(answer, '{CALLED}', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS shown_chars FROM e""")
+def tool_calls(spark, t):
+    answers = t("conversations").select("conv_id", "turn", F.expr(ANSWERS).alias("answer"))
+    call = tools.tool_call(F.col("answer"), ["order", "user"])
+    return answers.withColumn("c", call).select("conv_id", "turn", "c.tool", "c.args", "c.error", F.length(tools.without_tools(F.col("answer"))).cast("long").alias("shown_chars"))
+
+
+#: What the registry's tools take, for the calls above.
+REGISTRY = tools.ToolRegistry({"order": tools.Tool({"turn": "integer"}, ("turn",)), "user": tools.Tool({"name": "string"}, ("name",))})
+
+
+@query(rf"""WITH a AS (SELECT conv_id, turn, {ANSWERS} AS answer FROM conversations),
+m AS (SELECT *, regexp_extract_all(answer, '{CALLED}', 1) AS names, regexp_extract_all(answer, '{CALLED}', 2) AS bodies FROM a),
+e AS (SELECT turn, lower(names[1]) AS name, coalesce(bodies[1], '') AS body, CASE WHEN len(names) > 1 THEN 'more than one tool call in one reply (' || len(names) || ')'
+ WHEN bodies[1] <> '' AND NOT json_valid(bodies[1]) THEN 'tool arguments were not valid JSON' WHEN bodies[1] LIKE '[%' THEN 'tool arguments must be an object' END AS first FROM m),
+f AS (SELECT *, coalesce(first, CASE WHEN name = 'user' AND json_extract(CASE body WHEN '' THEN '{{}}' ELSE body END, '$.name') IS NULL THEN 'arguments rejected: "name" is missing' WHEN name = 'order' AND json_extract(body, '$.turn') IS NULL THEN 'arguments rejected: "turn" is missing'
+ WHEN name NOT IN ('user', 'order') THEN 'no tool named "' || name || '" is registered on this page' END) AS error FROM e)
+SELECT CASE WHEN first IS NULL THEN name END AS tool, error, count(*) AS n, CAST(sum(CASE WHEN error IS NULL THEN CAST(json_extract(body, '$.turn') AS BIGINT) END) AS BIGINT) AS turns FROM f GROUP BY ALL""")
+def tool_checks(spark, t):
+    checked = REGISTRY.checked(t("conversations").select("turn", F.expr(ANSWERS).alias("answer")))
+    return checked.groupBy("tool", "error").agg(F.count(F.lit(1)).alias("n"), F.sum(F.try_variant_get("args", "$.turn", "bigint")).alias("turns"))

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fold
 from ..functions import text as X
 from ..functions.markdown import html_to_markdown
 from ..operators.blend import ranked
 from ..operators.retrieval import publishable
+from ..session import written
 
 #: File types that hold text, and folders that are passed over.
 EXTENSIONS = ("md", "mdx", "txt", "html", "htm", "js", "mjs", "cjs", "json", "ts")
@@ -63,93 +66,11 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode(rows).alias("e")).select("e.pos", "e.id", "e.label", "e.base", "e.source", "e.artifacts.*")
 
 
-_FIXED = {0: "B", 1: "b", 2: "H", 3: "h", 4: "I", 5: "i", 6: "f", 7: "?", 10: "Q", 11: "q", 12: "d"}
-
-
-class _Bytes:
-    """Little-endian values off a byte string."""
-
-    def __init__(self, data: bytes):
-        self.data, self.at = data, 0
-
-    def take(self, kind: str):
-        size = struct.calcsize("<" + kind)
-        if self.at + size > len(self.data):
-            raise EOFError
-        (value,) = struct.unpack_from("<" + kind, self.data, self.at)
-        self.at += size
-        return value
-
-    def string(self) -> str:
-        n = self.take("Q")
-        if self.at + n > len(self.data):
-            raise EOFError
-        self.at += n
-        return self.data[self.at - n : self.at].decode("utf-8", "replace")
-
-    def value(self, kind: int):
-        if kind == 8:
-            return self.string()
-        if kind == 9:
-            inner, n = self.take("I"), self.take("Q")
-            return [self.value(inner) for _ in range(n)]
-        return self.take(_FIXED[kind])
-
-
-def gguf_rows(data: bytes) -> Iterator[tuple]:
-    """(kind, name, value, dims, dtype) of a GGUF header; nothing for other or cut files."""
-    b = _Bytes(data)
-    try:
-        if b.data[:4] != b"GGUF":
-            return
-        b.at = 4
-        b.take("I")
-        tensors, pairs = b.take("Q"), b.take("Q")
-        for _ in range(pairs):
-            name, value = b.string(), b.value(b.take("I"))
-            if isinstance(value, str):
-                yield "meta", name, value, None, None
-        for _ in range(tensors):
-            name = b.string()
-            dims = [b.take("Q") for _ in range(b.take("I"))]
-            dtype = b.take("I")
-            b.take("Q")
-            yield "tensor", name, None, dims, dtype
-    except (EOFError, KeyError):
-        return
-
-
-def gguf(spark: SparkSession, path: str, most: int = 64 << 20) -> DataFrame:
-    """(path, kind, name, value, dims, dtype) of GGUF files' headers, of which ``most`` bytes are looked at."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, most).alias("head"))
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(p, *r) for p, head in zip(pdf["path"], pdf["head"], strict=True) for r in gguf_rows(bytes(head))]
-            yield pd.DataFrame(rows, columns=["path", "kind", "name", "value", "dims", "dtype"])
-
-    return files.mapInPandas(parse, "path string, kind string, name string, value string, dims array<long>, dtype int")
-
-
-def architecture(rows: DataFrame) -> DataFrame:
-    return rows.filter("kind = 'meta' AND name = 'general.architecture'").select("path", F.col("value").alias("architecture"))
-
-
 def external_data(content: Column) -> Column:
     """Names of data files that an ONNX graph's bytes mention."""
     return F.array_distinct(F.regexp_extract_all(F.decode(content, "ISO-8859-1"), F.lit(r"([A-Za-z0-9_./-]+\.onnx_data(?:_[0-9]+)?)"), F.lit(1)))
 
 
-def mentions(content: Column, token: str) -> Column:
-    return F.contains(F.decode(content, "ISO-8859-1"), F.lit(token))
-
-
-def write_json_lines(df: DataFrame, path: str, order: list[str], hide: tuple[str, ...] = ()) -> None:
-    """One JSON object a line, in order, as one file: an export, made of sorted parts."""
-    shown = [c for c in df.columns if c not in hide]
-    df.orderBy(*order).select(F.to_json(F.struct(*shown)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
-
-
 def write_index(chunks: DataFrame, idf: DataFrame, embedder_id: str, folder: str) -> None:
     """Chunks, idf table and metadata of an index; rows that are not public never leave."""
     publishable(chunks).write.mode("overwrite").parquet(f"{folder}/chunks")
@@ -175,13 +96,36 @@ def train_valid(rows: DataFrame, order: str) -> DataFrame:
     return train.unionByName(valid).drop("at")
 
 
-def index_key(chunks: DataFrame, embedder_id: str) -> DataFrame:
-    """One row: a base-36 key folded over the chunks' ids and lengths in order."""
-    line = F.concat("id", F.lit(":"), F.length("text").cast("string"), F.lit(":"))
-    parts = chunks.select(F.struct("source", "ordinal", X.fnv1a32(line).alias("h")).alias("x"))
-    # the fold runs over digests of ordered parts, so that no row holds the corpus
-    dealt = parts.repartitionByRange("x.source").withColumn("part", F.spark_partition_id())
-    folded = dealt.groupBy("part").agg(F.sort_array(F.collect_list("x")).alias("xs"), F.min("x.source").alias("low")).select("low", F.aggregate("xs", F.lit(2166136261).cast("long"), lambda h, x: ((h.bitwiseXOR(x["h"])) * F.lit(16777619)).bitwiseAND(F.lit(4294967295))).alias("h"))
-    whole = folded.agg(F.sort_array(F.collect_list(F.struct("low", "h"))).alias("hs"))
-    start = X.fnv1a32(F.lit(embedder_id))
-    return whole.select(F.lower(F.conv(F.aggregate("hs", start, lambda h, x: ((h.bitwiseXOR(x["h"])) * F.lit(16777619)).bitwiseAND(F.lit(4294967295))).cast("string"), 10, 36)).alias("key"))
+FOLDED = "part long, n long, run binary"
+FEW_RUNS = 256  # rows of about 1 KB (256 KB where ids have characters beyond Latin-1) that the driver composes
+
+
+def index_key(chunks: DataFrame, embedder_id: str, order: list[str], chunk_id: str = "id", text: str = "text") -> str:
+    """rag:<hash>:<chunks>: the 32-bit FNV-1a of the embedder's id and of each chunk's "id:length:" in
+    order, as UTF-16 code units and lengths in them. Null ids and texts are empty.
+
+    The chunks are ranged by ``order``; a range's run of characters becomes one row, and runs compose in
+    groups of FEW_RUNS until as few are left."""
+    line = F.concat(F.coalesce(F.col(chunk_id).cast("string"), F.lit("")), F.lit(":"), (F.octet_length(F.encode(X.text(text), "UTF-16BE")) / 2).cast("long").cast("string"), F.lit(":"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, n = fold.NOTHING, 0
+        for b in batches:
+            for begin in range(0, b.num_rows, 4096):
+                lines = b.column(0).slice(begin, 4096).to_pylist()
+                whole, n = whole.then(fold.piece(fold.units("".join(lines)))), n + len(lines)
+        if n:
+            yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "n": [n], "run": [whole.bytes()]})
+
+    def compose(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("part", "n", "run")), strict=True))
+        whole = reduce(fold.Piece.then, (fold.Piece.read(r[2]) for r in rows))
+        return pa.table({"part": [rows[0][0] // FEW_RUNS], "n": [sum(r[1] for r in rows)], "run": [whole.bytes()]})
+
+    runs = written(chunks.select(line.alias("line"), *order).repartitionByRange(*order).sortWithinPartitions(*order).select("line").mapInArrow(run, FOLDED))
+    while runs.limit(FEW_RUNS + 1).count() > FEW_RUNS:
+        runs = written(runs.groupBy(F.expr(f"part div {FEW_RUNS}")).applyInArrow(compose, FOLDED))
+    state, n = fold.piece(fold.units(embedder_id)).apply(fold.START), 0
+    for r in sorted(runs.collect()):
+        state, n = fold.Piece.read(bytes(r["run"])).apply(state), n + r["n"]
+    return f"rag:{fold.base36(state)}:{n}"

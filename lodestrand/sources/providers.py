@@ -13,30 +13,33 @@ from pyspark.sql import functions as F
 from ..operators.corpus import first_of_each
 
 
+#: Lines that begin a question and an answer.
+ASKED = re.compile(r"^\s*(?:Q\d*|question)\s*[:.-]\s*(.+)$", re.I | re.A)
+TOLD = re.compile(r"^\s*(?:A\d*|answer)\s*[:.-]\s*(.+)$", re.I | re.A)
+
+
 def parse_pairs(answer: str | None) -> list[tuple[str, str]]:
-    """Questions and answers of a JSON array somewhere in the text, or of lines that begin Q: and A:, or
-    Question 1 - and the like, in any case; answers may begin on the line below."""
-    text = answer or ""
+    """Questions and answers of a JSON array of {"q", "a"} somewhere in the text, where both are strings; or of
+    lines. A line that asks begins a pair, all others that say something belong to its answer, with or
+    without a mark; lines before the first question are passed over, as is a question without an answer."""
+    text = (answer or "").strip()
     found = re.search(r"\[.*\]", text, re.S)
     if found:
         try:
             rows = json.loads(found[0])
-            pairs = [(str(r.get("q", "")).strip(), str(r.get("a", "")).strip()) for r in rows if isinstance(r, dict)]
-            return [p for p in pairs if all(p)]
         except ValueError:
-            pass
-    pairs, question, answer_lines = [], None, None
-    for line in [*text.split("\n"), "Q:"]:
-        asked, told = (re.match(rf"\s*({names})\s*[0-9]*\s*[:.\-]\s*(?P<rest>.*)", line, re.I) for names in ("Q|Question", "A|Answer"))
-        if asked:
-            if question and answer_lines and " ".join(answer_lines).strip():
-                pairs.append((question, " ".join(answer_lines).strip()))
-            question, answer_lines = asked["rest"].strip(), None
-        elif told and question:
-            answer_lines = [told["rest"].strip()]
-        elif answer_lines is not None and line.strip():
-            answer_lines.append(line.strip())
-    return pairs
+            rows = None
+        if isinstance(rows, list):
+            strings = [(r["q"].strip(), r["a"].strip()) for r in rows if isinstance(r, dict) and isinstance(r.get("q"), str) and isinstance(r.get("a"), str)]
+            return [p for p in strings if all(p)]
+    pairs: list[tuple[str, list[str]]] = []
+    for line in text.split("\n"):
+        if asked := ASKED.match(line):
+            pairs.append((asked[1].strip(), []))
+        elif pairs and line.strip():
+            told = TOLD.match(line)
+            pairs[-1][1].append((told[1] if told else line).strip())
+    return [(q, " ".join(a)) for q, a in pairs if q and a]
 
 
 def synthesize(chunks: DataFrame, provider: Callable[[str], str], most: int = 200, least_chars: int = 400) -> DataFrame:

@@ -1,101 +1,79 @@
-"""What a reader of a token stream sees: differences, the text so far, and events up to the end.
-
-State is kept for each stream and goes when the stream has been idle for a while, as in ``guard``.
-"""
+"""What a reader of a token stream sees: differences, what is shown so far, and events up to the end."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as X
-from ..operators.retrieval import without_tools
-from .guard import FALLBACK, IDLE_MS, feed, truncate_at_loop
-
-
-def _rows(batches: Iterator[pd.DataFrame]) -> Iterator:
-    return pd.concat(list(batches)).sort_values("seq").itertuples()
-
-
-def _kept(state: GroupState, *values) -> None:
-    state.update(values)
-    state.setTimeoutDuration(IDLE_MS)
+from . import markers
+from .guard import FALLBACK, feed, truncate_at_loop
+from .stateful import stepped
 
 
-def _delta(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    (posted,) = state.get if state.exists else (0,)
-    rows = []
-    for row in _rows(batches):
+def _delta(stream: str, state: tuple | None, rows: Iterator) -> tuple[tuple, list[tuple]]:
+    (posted,), out = state or (0,), []
+    for row in rows:
         text = row.text or ""
         if len(text) > posted:
-            rows.append((key[0], row.seq, text[posted:]))
+            out.append((stream, row.seq, text[posted:]))
             posted = len(text)
-    _kept(state, posted)
-    yield pd.DataFrame(rows, columns=["stream_id", "seq", "piece"])
+    return (posted,), out
 
 
 def delta_stream(texts: DataFrame) -> DataFrame:
     """(stream_id, seq, piece): what each cumulative text (stream_id, seq, text) adds to the longest
     before it; one that adds nothing (or is null) gives no row."""
-    asked = texts.select(F.col("stream_id").cast("string").alias("stream_id"), F.col("seq").cast("long").alias("seq"), "text")
-    return asked.groupBy("stream_id").applyInPandasWithState(_delta, "stream_id string, seq long, piece string", "posted long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stepped(texts.select("stream_id", "seq", "text"), _delta, "posted long", "stream_id string, seq long, piece string")
 
 
-def _whole(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    (raw,) = state.get if state.exists else ("",)
-    rows = []
-    for row in _rows(batches):
-        raw += row.piece or ""
-        rows.append((key[0], row.seq, raw))
-    _kept(state, raw)
-    yield pd.DataFrame(rows, columns=["stream_id", "seq", "raw"])
+SHOWN = "inside string, tail string, call string, begun boolean, gap string, bracketed boolean, volatile long"
+
+
+def _shown(stream: str, state: tuple | None, rows: Iterator) -> tuple[tuple, list[tuple]]:
+    held, out = markers.State(*state) if state else markers.State(), []
+    for row in rows:
+        back, text, held = markers.shown(held, row.piece)
+        if back or text:
+            out.append((stream, row.seq, back, text))
+    return held, out
 
 
 def displayed(pieces: DataFrame) -> DataFrame:
-    """(stream_id, seq, shown): all that a stream said so far, without thinking and tool calls."""
-    asked = pieces.select(F.col("stream_id").cast("string").alias("stream_id"), F.col("seq").cast("long").alias("seq"), "piece")
-    so_far = asked.groupBy("stream_id").applyInPandasWithState(_whole, "stream_id string, seq long, raw string", "raw string", "append", GroupStateTimeout.ProcessingTimeTimeout)
-    return so_far.select("stream_id", "seq", without_tools(X.strip_thinking(F.col("raw"))["text"]).alias("shown"))
+    """(stream_id, seq, back, text): what each piece changes of what is shown, which is all that was said but
+    thinking and tool calls: take ``back`` characters away, add ``text``. Pieces that change nothing give no row."""
+    return stepped(pieces.select("stream_id", "seq", "piece"), _shown, SHOWN, "stream_id string, seq long, back long, text string")
+
+
+def replayed(changes: DataFrame) -> DataFrame:
+    """(stream_id, seq, shown): the text after each change, of changes that are all there (no stream)."""
+    upto = Window.partitionBy("stream_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = F.collect_list(F.struct("back", "text")).over(upto)
+    cut = lambda shown, x: F.concat(F.left(shown, F.length(shown) - x["back"].cast("int")), x["text"])
+    return changes.select("stream_id", "seq", F.aggregate(seen, F.lit(""), cut).alias("shown"))
 
 
 EVENTS = "stream_id string, seq long, event string, text string, looped boolean"
-STATE = "buffer string, checked long, tripped boolean"
 
 
-def _session(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    buffer, checked, tripped = state.get if state.exists else ("", 0, False)
-    rows, ended = [], False
-    for row in _rows(batches):
+def _session(stream: str, state: tuple | None, rows: Iterator) -> tuple[tuple | None, list[tuple]]:
+    (buffer, checked, tripped), out, ended = state or ("", 0, False), [], False
+    for row in rows:
         if row.piece and not tripped:
             buffer, checked, tripped = feed(buffer, checked, row.piece)
             if tripped:
-                rows.append((key[0], row.seq, "retract", f"{buffer}\n\n{FALLBACK}", True))
-                rows.append((key[0], row.seq, "done", buffer, True))
+                out.append((stream, row.seq, "retract", f"{buffer}\n\n{FALLBACK}", True))
+                out.append((stream, row.seq, "done", buffer, True))
             else:
-                rows.append((key[0], row.seq, "token", row.piece, False))
+                out.append((stream, row.seq, "token", row.piece, False))
         if row.done is True or row.done == 1:
             if not tripped:
-                rows.append((key[0], row.seq, "done", truncate_at_loop(buffer), False))
+                out.append((stream, row.seq, "done", truncate_at_loop(buffer), False))
             ended = True
             buffer, checked, tripped = "", 0, False
-    if ended and not buffer:
-        state.remove()
-    else:
-        _kept(state, buffer, checked, tripped)
-    yield pd.DataFrame(rows, columns=["stream_id", "seq", "event", "text", "looped"])
+    return None if ended and not buffer else (buffer, checked, tripped), out
 
 
 def session(pieces: DataFrame) -> DataFrame:
@@ -104,8 +82,8 @@ def session(pieces: DataFrame) -> DataFrame:
     A piece is a token. A loop gives one retraction, which replaces what was shown and is the
     history, and at once the end, marked looped; what follows is dropped. Else the piece marked done
     gives the end with the finished text, which is the history. The next piece begins anew."""
-    asked = pieces.select(F.col("stream_id").cast("string").alias("stream_id"), F.col("seq").cast("long").alias("seq"), "piece", F.coalesce(F.col("done"), F.lit(False)).alias("done"))
-    events = asked.groupBy("stream_id").applyInPandasWithState(_session, EVENTS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    asked = pieces.select("stream_id", "seq", "piece", F.coalesce(F.col("done"), F.lit(False)).alias("done"))
+    events = stepped(asked, _session, "buffer string, checked long, tripped boolean", EVENTS)
     finished = (F.col("event") == "done") & ~F.col("looped")
     text = F.when(finished, X.strip_thinking(F.col("text"))["text"]).otherwise(F.col("text"))
     said = events.withColumn("text", text)

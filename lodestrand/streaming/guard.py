@@ -1,7 +1,6 @@
 """Guards of token streams: loops are cut as they appear, thinking is hidden.
 
-State is kept for each stream; pieces of one micro-batch are put in order by their number. There is
-no event time, so there is no watermark: a stream's state goes when it has been idle for a while.
+State is kept for each stream, as ``stateful`` says; pieces of one micro-batch are put in order by their number.
 """
 
 from __future__ import annotations
@@ -12,16 +11,15 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as X
+from .stateful import stepped
 
 #: Fixed value: what is said where a loop was cut.
 FALLBACK = "I started repeating myself — let me stop there. Could you rephrase the question?"
 EVENTS = "stream_id string, seq long, event string, text string"
 STATE = "buffer string, checked long, tripped boolean"
 EVERY, TAIL, LEAST = 64, 1200, 200
-IDLE_MS = 600_000
 
 
 def loop_onset(text: str, n: int = 8, repeats: int = 3) -> int:
@@ -55,28 +53,19 @@ def feed(buffer: str, checked: int, piece: str) -> tuple[str, int, bool]:
     return buffer[: len(buffer) - len(tail) + onset].rstrip(), len(buffer), True
 
 
-def _guard(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    buffer, checked, tripped = state.get if state.exists else ("", 0, False)
-    rows = []
-    for piece in pd.concat(list(batches)).sort_values("seq").itertuples():
+def _guard(stream: str, state: tuple | None, rows: Iterator) -> tuple[tuple, list[tuple]]:
+    (buffer, checked, tripped), out = state or ("", 0, False), []
+    for row in rows:
         if tripped:
-            continue
-        buffer, checked, tripped = feed(buffer, checked, piece.piece)
-        if tripped:
-            rows.append((key[0], piece.seq, "retract", f"{buffer}\n\n{FALLBACK}"))
-        else:
-            rows.append((key[0], piece.seq, "token", piece.piece))
-    state.update((buffer, checked, tripped))
-    state.setTimeoutDuration(IDLE_MS)
-    yield pd.DataFrame(rows, columns=["stream_id", "seq", "event", "text"])
+            break
+        buffer, checked, tripped = feed(buffer, checked, row.piece)
+        out.append((stream, row.seq, "retract", f"{buffer}\n\n{FALLBACK}") if tripped else (stream, row.seq, "token", row.piece))
+    return (buffer, checked, tripped), out
 
 
 def guarded(pieces: DataFrame) -> DataFrame:
     """Events of a stream of (stream_id, seq, piece): tokens, or once a retraction that replaces what was shown."""
-    return pieces.select(F.col("stream_id").cast("string").alias("stream_id"), F.col("seq").cast("long").alias("seq"), "piece").groupBy("stream_id").applyInPandasWithState(_guard, EVENTS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stepped(pieces.select("stream_id", "seq", "piece"), _guard, STATE, EVENTS)
 
 
 def finalized(texts: DataFrame) -> DataFrame:
@@ -88,11 +77,3 @@ def finalized(texts: DataFrame) -> DataFrame:
 
     s = X.strip_thinking(cut(X.text("text")))
     return texts.withColumn("__s", s).select(*[c for c in texts.columns if c != "text"], F.col("__s.text").alias("text"), F.col("__s.stripped").alias("thought_aloud"))
-
-
-def deltas(pieces: DataFrame) -> DataFrame:
-    """Cumulative texts as pieces: what each adds to the one before."""
-    from pyspark.sql import Window
-
-    before = F.coalesce(F.lag(F.length("text")).over(Window.partitionBy("stream_id").orderBy("seq")), F.lit(0))
-    return pieces.select("stream_id", "seq", F.substring("text", before + 1, F.length("text")).alias("piece"))

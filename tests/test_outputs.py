@@ -7,6 +7,8 @@ from lodestrand.operators import entries, sampling
 from lodestrand.sources import files, outputs
 from lodestrand.streaming import display, guard
 
+from .test_stream import run_stream
+
 
 def texts_of(spark, path):
     return [json.loads(r["value"]) for r in spark.read.text(path).collect()]
@@ -96,18 +98,6 @@ def test_uploads_prompts_and_documents(spark):
     chunks = spark.createDataFrame([("x", "public")], "id string, scope string")
     more = spark.createDataFrame([("y",)], "id string")
     assert {(r["id"], r["scope"]) for r in entries.with_documents(chunks, more, "me").collect()} == {("x", "public"), ("y", "me")}
-    assert entries.tool_instruction([]) == "" and "order, mail" in entries.tool_instruction(["order", "mail"])
-
-
-def run_stream(spark, folder, rows, schema, make, name):
-    for i, part in enumerate(rows):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    # states that time out ask for one empty batch after another, so that the run would not end
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
-    query = make(source).writeStream.format("memory").queryName(name).option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start()
-    assert query.awaitTermination(60)
-    return spark.table(name).orderBy("stream_id", "seq").collect()
 
 
 def test_differences_across_batches(spark, tmp_path):
@@ -116,12 +106,6 @@ def test_differences_across_batches(spark, tmp_path):
     assert [(r["stream_id"], r["seq"], r["piece"]) for r in got] == [("s", 1, "a"), ("s", 2, "b"), ("s", 4, "cd")]
 
 
-def test_display_hides_thinking(spark, tmp_path):
-    parts = [[("s", 1, "Hi <think>no"), ("s", 2, "t</think> there")], [("s", 3, "!")]]
-    got = run_stream(spark, tmp_path, parts, "stream_id string, seq long, piece string", display.displayed, "shown")
-    assert [r["shown"] for r in got] == ["Hi", "Hi  there", "Hi  there!"]
-
-
 def test_session_ends_once(spark, tmp_path):
     words = "one two three four five six seven eight ".split(" ")
     loop = [("loop", i, f"{words[i % 8]} ", False) for i in range(120)] + [("loop", 120, None, True)]
