@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import Scratch
-from .text import U, pieces, words
+from .text import U, pieces, tidied, words
 
 CHUNK_BYTES = 8 << 20
 BUCKET_KEYS = 2 << 20
@@ -76,7 +76,7 @@ def write_chunks(docs: DataFrame, scratch: Scratch, text: str = "text", chunk_by
         if held:
             yield flush()
 
-    return scratch.write(docs.mapInArrow(chunk, CHUNKS), "chunks")
+    return scratch.write(docs.mapInArrow(tidied(chunk), CHUNKS), "chunks")
 
 
 def buckets_for(chunks: DataFrame, share: float = 1.0) -> int:
@@ -147,7 +147,7 @@ def answer(requests: DataFrame, merge: Callable, width: int, checked: bool = Fal
                 out.append((-1 - int(kind), bucket, int(kind), np.asarray(totals, np.int64).tobytes()))
         return pa.Table.from_batches([to_batch(out, ANSWERS)])
 
-    return requests.groupBy("bucket").applyInArrow(reduce, ANSWERS)
+    return requests.groupBy("bucket").applyInArrow(tidied(reduce), ANSWERS)
 
 
 def answers_of(table: pa.Table, kind: int, dtype=np.int64) -> np.ndarray:
@@ -164,7 +164,7 @@ def with_answers(chunks: DataFrame, answers: DataFrame, use: Callable[[int, pa.T
         got = [b for i in range(left.num_rows) for b in use(left.column("chunk_id")[i].as_py(), unpack(left.column("payload")[i].as_py()), right)]
         return pa.Table.from_batches(got) if got else pa.Table.from_batches([to_batch([], schema)])
 
-    return chunks.select("chunk_id", "payload").groupBy("chunk_id").cogroup(answers.filter("chunk_id >= 0").groupBy("chunk_id")).applyInArrow(apply, schema)
+    return chunks.select("chunk_id", "payload").groupBy("chunk_id").cogroup(answers.filter("chunk_id >= 0").groupBy("chunk_id")).applyInArrow(tidied(apply), schema)
 
 
 def answered(chunks: DataFrame, answers: DataFrame) -> DataFrame:
@@ -174,7 +174,7 @@ def answered(chunks: DataFrame, answers: DataFrame) -> DataFrame:
         own = pack(right.select(["bucket", "kind", "answer"]))
         return pa.Table.from_batches([to_batch([(c, p, own) for c, p in zip(left.column("chunk_id").to_pylist(), left.column("payload").to_pylist(), strict=True)], ANSWERED)])
 
-    return chunks.select("chunk_id", "payload").groupBy("chunk_id").cogroup(answers.filter("chunk_id >= 0").groupBy("chunk_id")).applyInArrow(put, ANSWERED)
+    return chunks.select("chunk_id", "payload").groupBy("chunk_id").cogroup(answers.filter("chunk_id >= 0").groupBy("chunk_id")).applyInArrow(tidied(put), ANSWERED)
 
 
 def over_answered(rows: DataFrame, use: Callable[[int, pa.Table, pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -185,4 +185,4 @@ def over_answered(rows: DataFrame, use: Callable[[int, pa.Table, pa.Table], Iter
             for i in range(b.num_rows):
                 yield from use(b.column("chunk_id")[i].as_py(), unpack(b.column("payload")[i].as_py()), unpack(b.column("answers")[i].as_py()))
 
-    return rows.mapInArrow(apply, schema)
+    return rows.mapInArrow(tidied(apply), schema)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import tokens as T
 from .exchange import expand, squeeze, to_batch
 from .storage import Scratch
-from .text import pieces
+from .text import pieces, tidy
 
 LIMIT = 20
 STEP = 256
@@ -129,7 +129,7 @@ def tokenized(docs: DataFrame, path: str, end: int, text: str = "text", doc_id:
                 ids = ids.astype(np.uint32)
                 rows = [(i, int(b - a), squeeze(ids[a:b])) for i, a, b in zip(part.column("doc_id").to_pylist(), first[:-1], first[1:], strict=True)]
                 yield to_batch(rows, STAGED)
-        T.tidy()
+        tidy()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, STAGED)
 

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .exchange import to_batch
 from .storage import Scratch
-from .text import U, grams, mix, pair, pieces, word_hashes, words
+from .text import U, grams, mix, pair, pieces, tidied, word_hashes, words
 
 COORDINATES = 256
 PARITIES = 1024
@@ -122,7 +122,7 @@ def signatures(docs: DataFrame, k: int, text: str, doc_id: str) -> DataFrame:
                     rows.append((i, len(s), key_of(s), minwise(s, a, b).tobytes() + parities(s).tobytes()) if len(s) else (i, 0, None, None))
                 yield to_batch(rows, SIGNED)
 
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text")).mapInArrow(sign, SIGNED)
+    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text")).mapInArrow(tidied(sign), SIGNED)
 
 
 def met(threshold: float) -> float:
@@ -191,7 +191,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, thresh
             for part in pieces(batch, "text"):
                 yield to_batch([(key_of(s), s.tobytes()) for s in shingle_sets(part.column("text"), k) if len(s)], "key binary, members binary")
 
-    full = scratch.write(source.mapInArrow(make, "key binary, members binary").join(needed.select("key"), "key", "left_semi").dropDuplicates(["key"]), "sets")
+    full = scratch.write(source.mapInArrow(tidied(make), "key binary, members binary").join(needed.select("key"), "key", "left_semi").dropDuplicates(["key"]), "sets")
     both = pairs.join(full.select(F.col("key").alias("a"), F.col("members").alias("m_a")), "a").join(full.select(F.col("key").alias("b"), F.col("members").alias("m_b")), "b")
     percent = round(threshold * 100)
 
@@ -204,7 +204,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, thresh
                 ok.append(100 * common >= percent * (len(s) + len(t) - common))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(check, "a binary, b binary")
+    return both.mapInArrow(tidied(check), "a binary, b binary")
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:

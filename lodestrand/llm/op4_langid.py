@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import subword
 from .storage import Scratch
-from .text import pieces
+from .text import pieces, tidied
 
 UNKNOWN = "und"
 EVEN, WRONG, LOST = 0.5, 0.05, 0.01
@@ -82,7 +82,7 @@ def accepted(spark: SparkSession, docs: DataFrame, text: str = "text", doc_id: s
                 sure = m.probabilities(texts).max(axis=1) >= least if m.classes else np.zeros(part.num_rows, bool)
                 yield part.filter(pa.array(sure & letters(texts)))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidied(keep), docs.schema)
 
 
 def letters(texts: pa.Array) -> np.ndarray:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import tokens as T
 from .exchange import expand, squeeze, to_batch
 from .storage import Scratch
-from .text import pieces
+from .text import pieces, tidy
 
 WINDOW = 1024
 
@@ -172,7 +172,7 @@ def staged(docs: DataFrame, path: str, end: int, window: int, text: str, doc_id:
                     seen[tail] += 1
                     before += int(b - a) // window
                 yield to_batch(rows, STAGED)
-        T.tidy()
+        tidy()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, STAGED)
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .exchange import to_batch
 from .storage import Scratch
-from .text import U, grams, mix, pieces, word_hashes, words
+from .text import U, grams, mix, pieces, tidied, word_hashes, words
 
 SHORTEST, LONGEST = 5, 64
 WALKS, TABLES, POSITIONS = 6, 16, 2
@@ -230,7 +230,7 @@ def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, similarity: fl
                     ids = part.column("doc_id").to_pylist()
                     yield to_batch([(ids[d], passages.rows[p][0], passages.rows[p][1], int(a - w.first[d]), int(b - w.first[d]), cost, int(passages.size[p])) for d, p, a, b, cost in passages.leaks(word_hashes(w), w.first)], LEAKS)
 
-        found = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, LEAKS)
+        found = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidied(run), LEAKS)
         out = found if out is None else out.union(found)
     return out
 
@@ -250,5 +250,5 @@ def without_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, simila
                     keep[[x[0] for x in passages.leaks(word_hashes(w), w.first)]] = False
                     yield part.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidied(run), docs.schema)
     return docs

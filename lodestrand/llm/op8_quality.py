@@ -1,5 +1,6 @@
 """Quality scores: learned hashed word and character n-gram vectors, averaged; softmax by SGD.
 
+Features are byte n-grams, words and pairs of words; all vectors are learned, no feature is made by hand.
 Labels are 0 or 1; the score is the calibrated chance of label 1.
 
 Defined results: empty and null texts score what the model's bias gives; without training rows
@@ -16,11 +17,13 @@ from . import subword
 from .storage import Scratch
 
 CUT = 0.3
+SETTINGS = {"pairs": True, "epochs": 30, "rate": 8.0}
 MOST_BROADCAST = 100_000  # rows of id and label
 
 
 def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn: Column | None = None, label: str = "quality", text: str = "text", doc_id: str = "doc_id", sample: int = subword.SAMPLE) -> DataFrame:
-    """One row for each of ``docs``: doc_id, held_out, score, predicted. learn: rows to learn from."""
+    """One row for each of ``docs``: doc_id, held_out, score, predicted. learn: rows to learn from; a row
+    of which that cannot be told (a null id) is not learned from, and counts as held out."""
     Scratch(spark, "quality")
     learn = F.lit(True) if learn is None else learn
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
@@ -32,7 +35,7 @@ def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn: Colu
     chosen = Scratch(spark, "quality").write(named.filter(subword.marked(counts, sample)).distinct(), "chosen")
     if chosen.count() <= MOST_BROADCAST:
         chosen = F.broadcast(chosen)
-    model, _ = subword.fit(learning.join(chosen, "id"), sample, counts)
+    model, _ = subword.fit(learning.join(chosen, "id"), sample, counts, **SETTINGS)
     out = subword.predict(rows.select("id", (~F.col("learn")).alias("held_out"), "text"), model, ["id", "held_out"])
     if model.classes == ["0", "1"]:
         score = F.least(F.greatest(F.col("last"), F.lit(0.0)), F.lit(1.0))

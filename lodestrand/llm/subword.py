@@ -1,8 +1,8 @@
 """Averaged hashed subword embeddings with a linear softmax, trained by SGD in numpy.
 
 A text's features are its byte n-grams (2 to 4 bytes, white space as one kind of byte, letters'
-case kept), its whole words, and words that follow themselves, hashed to ``BUCKETS`` embedding rows. Its vector is the mean of
-those rows, the class scores a linear map of the vector. Training sees a bounded sample of
+case kept), its whole words and, if asked for, its pairs of words, hashed to ``BUCKETS`` embedding
+rows. Its vector is the mean of those rows, the class scores a linear map of the vector. Training sees a bounded sample of
 labelled rows (``sample`` rows in all, dealt evenly over the classes, chosen by a hash of the id);
 a fifth of the sample is set aside to calibrate the scores. Scoring folds embeddings and softmax
 weights into one table of BUCKETS x classes, so it needs one look-up a feature over whole texts.
@@ -19,16 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import expand, squeeze, to_batch
-from .text import U, pieces, raw, word_hashes, words
+from .text import U, pair, pieces, raw, tidied, word_hashes, words
 
 BUCKETS = 1 << 17
 GRAMS = (2, 3, 4)
 SAMPLE = 2400
 SLICE = 1 << 20  # bytes of text that are worked on at once
-REPEATED = 4242  # the bucket of a word that follows itself
 
 
-def bucket_runs(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def bucket_runs(texts: pa.Array, pairs: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each kind of feature: the buckets in text order, and where each text's begin (len + 1)."""
     data, offsets = raw(texts)
     blank = (data == 32) | ((data >= 9) & (data <= 13))
@@ -52,12 +51,11 @@ def bucket_runs(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     w = words(texts)
     h = word_hashes(w, 3)
     yield (h >> U(64 - 17)).astype(np.int32), w.first
-    # word bigrams by shape: a word that repeats the one before it, whichever it is
-    again = np.concatenate([[False], h[1:] == h[:-1]]) if len(h) else np.zeros(0, bool)
-    begins = w.first[:-1][w.count > 0]
-    again[begins] = False
-    so_far = np.concatenate([[0], np.cumsum(again)])
-    yield np.full(int(so_far[-1]), REPEATED, np.int32), so_far[w.first]
+    if pairs and len(h) > 1:
+        inside = np.ones(len(h) - 1, bool)
+        last = w.first[1:][w.count > 0] - 1  # a text's last word begins no pair of it
+        inside[last[last < len(inside)]] = False
+        yield (pair(h[:-1], h[1:])[inside] >> U(64 - 17)).astype(np.int32), np.concatenate([[0], np.cumsum(np.maximum(w.count - 1, 0))])
 
 
 def row_sums(values: np.ndarray, first: np.ndarray, into: np.ndarray) -> None:
@@ -74,10 +72,11 @@ class Model:
     bias: np.ndarray
     scale: np.ndarray  # calibration: scores are softmax(scale * logits + shift)
     shift: np.ndarray
+    pairs: bool = False  # whether pairs of words are features
 
     def logits(self, texts: pa.Array) -> np.ndarray:
         total, count = np.zeros((len(texts), len(self.classes))), np.zeros(len(texts))
-        for bucket, first in bucket_runs(texts):
+        for bucket, first in bucket_runs(texts, self.pairs):
             row_sums(self.table[bucket], first, total)
             count += np.diff(first)
         return total / np.maximum(count, 1)[:, None] + self.bias
@@ -113,13 +112,13 @@ def labelled_sample(rows: DataFrame, counts: dict[str, int], sample: int) -> Dat
     return chosen.groupBy("label", "pick").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
 
 
-def features(rows: DataFrame) -> DataFrame:
+def features(rows: DataFrame, pairs: bool = False) -> DataFrame:
     """Each row's distinct buckets, as differences, and how often each occurs; both squeezed."""
 
     def make(batches):
         for batch in batches:
             for part in pieces(batch, "text", SLICE):
-                runs = list(bucket_runs(part.column("text")))
+                runs = list(bucket_runs(part.column("text"), pairs))
                 out = []
                 for i, (label, pick) in enumerate(zip(part.column("label").to_pylist(), part.column("pick").to_pylist(), strict=True)):
                     found, n = np.unique(np.concatenate([b[f[i] : f[i + 1]] for b, f in runs]), return_counts=True)
@@ -129,7 +128,7 @@ def features(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(make, FEATURES)
 
 
-def train(rows: list, classes: list[str], prior: np.ndarray, width: int = 12, epochs: int = 12, rate: float = 4.0, seed: int = 7) -> Model:
+def train(rows: list, classes: list[str], prior: np.ndarray, width: int = 12, epochs: int = 12, rate: float = 4.0, seed: int = 7, pairs: bool = False) -> Model:
     """SGD over documents in shuffled order with a falling rate, then calibration on the rest."""
     rng = np.random.default_rng(seed)
     k = len(classes)
@@ -162,7 +161,7 @@ def train(rows: list, classes: list[str], prior: np.ndarray, width: int = 12, ep
     table = (embedding @ weights).astype(np.float32)
     z = np.array([np.r_[d[1] @ table[d[0]]] if len(d[0]) else np.zeros(k) for d in docs]).reshape(len(docs), k) + bias
     scale, shift = calibrate(z[aside], y[aside], prior) if aside.any() else (np.float64(1.0), np.zeros(k))
-    return Model(classes, table, bias.astype(np.float64), scale, shift)
+    return Model(classes, table, bias.astype(np.float64), scale, shift, pairs)
 
 
 def calibrate(z: np.ndarray, y: np.ndarray, prior: np.ndarray, rounds: int = 300) -> tuple[np.float64, np.ndarray]:
@@ -182,7 +181,7 @@ def calibrate(z: np.ndarray, y: np.ndarray, prior: np.ndarray, rounds: int = 300
     return np.float64(scale / spread), shift - shift.mean()
 
 
-def fit(rows: DataFrame, sample: int = SAMPLE, counts: dict[str, int] | None = None, **settings) -> tuple[Model, list]:
+def fit(rows: DataFrame, sample: int = SAMPLE, counts: dict[str, int] | None = None, pairs: bool = False, **settings) -> tuple[Model, list]:
     """Learn from rows (id, label, text), label a non-null string; the model and the sample's features.
     counts: rows of each label, where ``rows`` hold only those chosen."""
     if counts is None:
@@ -192,13 +191,13 @@ def fit(rows: DataFrame, sample: int = SAMPLE, counts: dict[str, int] | None = N
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), np.float64(1), np.zeros(0)), []
     prior = np.array([counts[c] for c in classes], float)
     each = max(1, sample // len(classes))
-    found = sorted((tuple(r) for r in features(labelled_sample(rows, counts, sample)).collect()), key=lambda r: (r[1], r[0]))
+    found = sorted((tuple(r) for r in features(labelled_sample(rows, counts, sample), pairs).collect()), key=lambda r: (r[1], r[0]))
     got, taken = [], dict.fromkeys(classes, 0)
     for r in found:  # the least picks of each label, as many as the bound says
         if taken[r[0]] < each:
             taken[r[0]] += 1
             got.append((*r[:2], np.cumsum(expand(r[2], np.int32), dtype=np.int32).tobytes(), expand(r[3], np.uint32).astype(np.float32).tobytes()))
-    return train(got, classes, prior / prior.sum(), **settings), got
+    return train(got, classes, prior / prior.sum(), pairs=pairs, **settings), got
 
 
 def predict(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
@@ -221,4 +220,4 @@ def predict(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
                     best, chance, last = np.zeros(part.num_rows, int), np.zeros(part.num_rows), np.zeros(part.num_rows)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), names.take(pa.array(best)), pa.array(chance), pa.array(last)], names=[*carry, "best", "chance", "last"])
 
-    return docs.select(*carry, "text").mapInArrow(score, schema)
+    return docs.select(*carry, "text").mapInArrow(tidied(score), schema)

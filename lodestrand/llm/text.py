@@ -5,8 +5,10 @@ A word is ``[^\\x20\\x09-\\x0D]+`` of the UTF-8 text, as bytes. Nulls hold no wo
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +31,43 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * M1 + (b ^ (b >> U(32))) * M2 + U(1))
 
 
+def tidy() -> None:
+    """At a task's end: give back what Arrow and the C library keep for later, as a worker idles between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidied(work: Callable) -> Callable:
+    """A function of batches (or of a group's tables) that tidies up behind itself."""
+
+    @wraps(work)
+    def batches(it):
+        try:
+            yield from work(it)
+        finally:
+            tidy()
+
+    @wraps(work)
+    def group(table):
+        try:
+            return work(table)
+        finally:
+            tidy()
+
+    @wraps(work)
+    def groups(left, right):
+        try:
+            return work(left, right)
+        finally:
+            tidy()
+
+    if work.__code__.co_flags & 0x20:  # a generator
+        return batches
+    return group if work.__code__.co_argcount == 1 else groups
+
+
 @dataclass
 class Words:
     data: np.ndarray  # bytes of all texts

@@ -156,11 +156,6 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def tidy() -> None:
-    """At a task's end: give back what Arrow keeps; the bounded cache of pieces stays for the worker's next task."""
-    pa.default_memory_pool().release_unused()
-
-
 def with_end(ids: np.ndarray, first: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Append one id to each text's ids."""
     n = len(first) - 1
