@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.markdown import html_to_markdown
-from ..operators import blend, catalog, corpus, evaluation, qa, retrieval, tools
+from ..operators import blend, catalog, corpus, evaluation, qa, retrieval, serving, tools
 from ..sources import files
 from ..session import attach
 from ..streaming import guard
@@ -444,3 +444,21 @@ SELECT CASE WHEN first IS NULL THEN name END AS tool, error, count(*) AS n, CAST
 def tool_checks(spark, t):
     checked = REGISTRY.checked(t("conversations").select("turn", F.expr(ANSWERS).alias("answer")))
     return checked.groupBy("tool", "error").agg(F.count(F.lit(1)).alias("n"), F.sum(F.try_variant_get("args", "$.turn", "bigint")).alias("turns"))
+
+
+#: Parts as model entries, whose graph is a string, an object or not there; one upload a brand.
+ENTRY = """'{"id":"p' || p_partkey || '","label":"' || p_name || '","artifacts":{"onnx":' || CASE p_size % 3 WHEN 0 THEN '"org/' || p_size || '"' WHEN 1 THEN '{"id":"org/' || p_size || '","dtype":"fp32"}' ELSE 'null' END || '}}'"""
+
+
+@query("""WITH m AS (SELECT p_brand AS site, CAST(p_partkey AS INTEGER) AS pos, 'p' || p_partkey AS id, p_name AS label, CASE WHEN p_size % 3 < 2 THEN 'org/' || p_size END AS repo, p_size % 3 = 1 AS nested FROM part),
+u AS (SELECT p_brand AS site, CAST(min(p_size) AS VARCHAR) AS name FROM part GROUP BY 1), h AS (SELECT m.site, min(pos) AS hit FROM m JOIN u ON u.site = m.site AND m.repo = 'org/' || u.name GROUP BY 1)
+SELECT m.site, pos, id, label, m.repo AS onnx, CASE WHEN nested THEN CASE WHEN pos = hit THEN 'q8' ELSE 'fp32' END END AS dtype, CASE WHEN pos = hit THEN 'tuned' END AS source FROM m LEFT JOIN h ON h.site = m.site
+UNION ALL SELECT u.site, -1, u.name, u.name || ' (published ONNX)', 'org/' || u.name, NULL, 'tuned' FROM u LEFT JOIN h ON h.site = u.site WHERE hit IS NULL""")
+def manifest_publish(spark, t):
+    parts = t("part")
+    entries = parts.select(F.col("p_brand").alias("site"), F.col("p_partkey").cast("int").alias("pos"), F.parse_json(F.expr(ENTRY)).alias("entry"))
+    nothing = [F.lit(None).cast("string").alias(c) for c in ("site_name", "label", "base", "revision")]
+    uploads = parts.groupBy(F.col("p_brand").alias("site")).agg(F.min("p_size").alias("size")).select("site", F.concat(F.lit("org/"), F.col("size").cast("string")).alias("repo"), F.lit("q8").alias("dtype"), *nothing)
+    e = F.col("entry")
+    graph = serving.text_or(e, "$.artifacts.onnx", "id", "repo")
+    return serving.publish(entries, uploads).select("site", "pos", serving.at(e, "$.id").alias("id"), serving.at(e, "$.label").alias("label"), graph.alias("onnx"), serving.at(e, "$.artifacts.onnx.dtype").alias("dtype"), serving.at(e, "$.source").alias("source"))
