@@ -182,7 +182,7 @@ def likely(pairs: DataFrame, threshold: float) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, threshold: float, text: str, doc_id: str, scratch: Scratch) -> DataFrame:
-    """The pairs of keys whose full sets reach the threshold. Sets are made again, of candidates only."""
+    """The pairs of keys whose full sets reach the threshold, written. Sets are made again, of candidates only."""
     needed = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct().join(sets.select("key", "id"), "key")
     source = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text")).join(needed.select("id").distinct(), "id", "left_semi")
 
@@ -204,7 +204,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, thresh
                 ok.append(100 * common >= percent * (len(s) + len(t) - common))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(tidied(check), "a binary, b binary")
+    links = scratch.write(both.mapInArrow(tidied(check), "a binary, b binary"), "links")
+    scratch.drop(full)
+    return links
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -216,8 +218,10 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         spread = labels.join(near, "key", "left").select("key", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
         jump = labels.select(F.col("key").alias("label"), F.col("label").alias("further"))
         new = scratch.write(spread.join(jump, "label", "left").select("key", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
+        scratch.drop(labels)
         labels = new.select("key", "label")
         if new.filter("label != old").isEmpty():
+            scratch.drop(edges)
             return labels
 
 
@@ -279,7 +283,8 @@ def groups(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, k: int
     # one star edge a document: to the least of all documents that it shares a node with
     stars = nodes.join(nodes.groupBy("node").agg(F.min("key").alias("a")), "node").groupBy(F.col("key").alias("b")).agg(F.min("a").alias("a")).filter("a != b")
     pairs = scratch.write(likely(stars.join(side("a"), "a").join(side("b"), "b"), threshold), "stars")
-    links = scratch.write(confirmed(pairs, sets, docs, k, threshold, text, doc_id, scratch), "links")
+    links = confirmed(pairs, sets, docs, k, threshold, text, doc_id, scratch)
+    scratch.drop(pairs)
     labels = components(links, scratch)
     scratch.release()
 
@@ -292,11 +297,15 @@ def groups(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, k: int
     # each document with its likeliest partner of another component, as in Boruvka's trees: components
     # of near copies close in a few rounds, before all pairs of what is left are looked at
     for at in range(CLOSING):
-        parts = mixed(nodes).withColumn("part", F.pmod(F.xxhash64("key", "node", F.lit(at)), F.ceil(F.col("size") / SMALL)))
+        held = mixed(nodes)
+        parts = held.withColumn("part", F.pmod(F.xxhash64("key", "node", F.lit(at)), F.ceil(F.col("size") / SMALL)))
         near = scratch.write(likeliest(across(parts, ["node", "part"], threshold, nearest=True)), "nearest")
+        scratch.drop(held)  # the sketches of a round are its largest table
+        scratch.release()
         if near.isEmpty():
             break
-        new = scratch.write(confirmed(near, sets, docs, k, threshold, text, doc_id, scratch), "links")
+        new = confirmed(near, sets, docs, k, threshold, text, doc_id, scratch)
+        scratch.drop(near)
         if new.isEmpty():
             break
         links = links.union(new)
@@ -304,10 +313,11 @@ def groups(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, k: int
     scratch.release()
 
     # then all likely pairs across components; too large nodes branch further
-    level, found = LEVELS, []
+    level, found, read = LEVELS, [], []
     rows = nodes
     while True:
         held = mixed(rows)
+        read += [rows, held]
         found.append(across(held.filter(F.col("size") <= SMALL), ["node"], threshold))
         large = held.filter(F.col("size") > SMALL)
         if large.isEmpty():
@@ -326,8 +336,11 @@ def groups(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, k: int
     for x in found[1:]:
         more = more.union(x)
     more = scratch.write(more.distinct(), "across")
+    for table in read:
+        scratch.drop(table)
+    scratch.release()
     if not more.isEmpty():
-        links = links.union(scratch.write(confirmed(more, sets, docs, k, threshold, text, doc_id, scratch), "links"))
+        links = links.union(confirmed(more, sets, docs, k, threshold, text, doc_id, scratch))
         labels = components(links, scratch)
 
     # the least id of each component, for all its keys
