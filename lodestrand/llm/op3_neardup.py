@@ -17,7 +17,9 @@ union are linked. Equal sets are one vertex, so copies cost one row. Over the di
 * A *sketch* of all minwise hashes drops pairs that are more than ``DEVIATIONS`` standard deviations below
   the threshold. Beside it lie the *parities* of the set's hashes in ``PARITIES`` bins: bins whose parities
   differ each hold an element of one set alone, so they bound the sets' difference from below and
-  drop pairs that cannot be links, without loss. Every link is then confirmed on the full sets.
+  drop pairs that cannot be links, without loss. Nodes carry one byte of each minwise hash and the
+  parities (``SHORT`` bytes): bytes agree wherever hashes do, so no pair is lost by it. Every link is
+  then confirmed on the full sets.
 
 Links, labels and fingerprints stay in Spark tables throughout.
 
@@ -33,7 +35,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exchange import to_batch
@@ -42,7 +44,7 @@ from .text import U, grams, mix, pair, pieces, tidied, word_hashes, words
 
 COORDINATES = 256
 PARITIES = 1024
-WIDTH = COORDINATES + PARITIES // 32  # 32-bit numbers of a sketch with its parities
+SHORT = COORDINATES + PARITIES // 8  # bytes of a sketch that pairs are judged by: the hashes' low bytes, then the parities
 DEVIATIONS = 5.0
 TREE_DEVIATIONS = 2.0
 NO_ID = 2**63 - 1
@@ -86,15 +88,34 @@ def minwise(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def parities(s: np.ndarray) -> np.ndarray:
     """Whether each bin holds an odd number of the set's hashes, as bits."""
     odd = np.bincount((s % U(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.uint32)
+    return np.packbits(odd.astype(np.uint8))
 
 
-def sketches(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, WIDTH)
+def sketch_of(low: np.ndarray, odd: np.ndarray) -> bytes:
+    """Low bytes of the minwise hashes, parities, then the hashes' three other bytes."""
+    return low.astype(np.uint8).tobytes() + odd.tobytes() + low.astype("<u4").view(np.uint8).reshape(-1, 4)[:, 1:].tobytes()
+
+
+def hashes(column) -> np.ndarray:
+    """The minwise hashes of whole sketches."""
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SHORT + 3 * COORDINATES)
+    whole = np.empty((len(raw), COORDINATES, 4), np.uint8)
+    whole[:, :, 0] = raw[:, :COORDINATES]
+    whole[:, :, 1:] = raw[:, SHORT:].reshape(-1, COORDINATES, 3)
+    return whole.view("<u4")[:, :, 0]
+
+
+def shorts(column) -> np.ndarray:
+    """The part of sketches that pairs are judged by, as bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SHORT)
+
+
+def short(sketch: str) -> Column:
+    return F.substring(sketch, 1, SHORT)
 
 
 def possible(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
-    """Pairs that the sketches, the sets' sizes and their parities do not rule out as links."""
+    """Agreeing bytes of pairs that short sketches, the sets' sizes and their parities do not rule out as links; else -1."""
     percent, y = round(threshold * 100), np.broadcast_to(y, x.shape)
     agree = (x[:, :COORDINATES] == y[:, :COORDINATES]).sum(axis=1)
     ok = (agree >= least_agreement(threshold)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
@@ -119,7 +140,7 @@ def signatures(docs: DataFrame, k: int, text: str, doc_id: str) -> DataFrame:
             for part in pieces(batch, "text"):
                 rows = []
                 for i, s in zip(part.column("id").to_pylist(), shingle_sets(part.column("text"), k), strict=True):
-                    rows.append((i, len(s), key_of(s), minwise(s, a, b).tobytes() + parities(s).tobytes()) if len(s) else (i, 0, None, None))
+                    rows.append((i, len(s), key_of(s), sketch_of(minwise(s, a, b), parities(s))) if len(s) else (i, 0, None, None))
                 yield to_batch(rows, SIGNED)
 
     return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text")).mapInArrow(tidied(sign), SIGNED)
@@ -152,7 +173,7 @@ def branch(rows: DataFrame, threshold: float, trees: int = 0, levels: int = LEVE
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sketch = sketches(batch.column("sketch"))
+            sketch = hashes(batch.column("sketch"))
             n = len(sketch)
             if trees:
                 path, member = np.repeat(mix(np.arange(trees, dtype=U) + U(77)), n), np.tile(np.arange(n), trees)
@@ -174,7 +195,7 @@ def likely(pairs: DataFrame, threshold: float) -> DataFrame:
 
     def keep(batches):
         for batch in batches:
-            x, y = (sketches(batch.column(c)) for c in ("s_a", "s_b"))
+            x, y = (shorts(batch.column(c)) for c in ("s_a", "s_b"))
             n, m = (np.asarray(batch.column(c)) for c in ("n_a", "n_b"))
             yield batch.select(["a", "b"]).filter(pa.array(possible(x, y, n, m, threshold) >= 0))
 
@@ -235,7 +256,7 @@ def across(rows: DataFrame, groups: list[str], threshold: float, nearest: bool =
     or (with the agreement) for each row a only the one whose sketch agrees most."""
 
     def compare(t: pa.Table) -> pa.Table:
-        sketch = sketches(t.column("sketch"))
+        sketch = shorts(t.column("short"))
         _, label = np.unique(np.array(t.column("label").to_pylist(), object), return_inverse=True)
         n, key = np.asarray(t.column("n")), t.column("key").to_pylist()
         out = []
@@ -251,7 +272,7 @@ def across(rows: DataFrame, groups: list[str], threshold: float, nearest: bool =
         return pa.Table.from_batches([to_batch(out, schema)])
 
     schema = "a binary, b binary, agree int" if nearest else "a binary, b binary"
-    return rows.select(*groups, "key", "n", "sketch", "label").groupBy(*groups).applyInArrow(compare, schema)
+    return rows.select(*groups, "key", "n", "short", "label").groupBy(*groups).applyInArrow(compare, schema)
 
 
 def likeliest(found: DataFrame) -> DataFrame:
@@ -276,10 +297,12 @@ def groups(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, k: int
     scratch = Scratch(spark, "neardup")
     signed = scratch.write(signatures(docs, k, text, doc_id), "signed")
     sets = scratch.write(signed.filter("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "distinct")
+    slim = scratch.write(signed.select("id", "n", "key"), "documents")
+    scratch.drop(signed)  # sketches of copies are not needed again
     scratch.release()
 
     nodes = scratch.write(sized(branch(sets.select("key", "sketch"), threshold, tree_count(threshold, recall)).distinct()), "nodes")
-    side = lambda c: sets.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    side = lambda c: sets.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), short("sketch").alias(f"s_{c}"))
     # one star edge a document: to the least of all documents that it shares a node with
     stars = nodes.join(nodes.groupBy("node").agg(F.min("key").alias("a")), "node").groupBy(F.col("key").alias("b")).agg(F.min("a").alias("a")).filter("a != b")
     pairs = scratch.write(likely(stars.join(side("a"), "a").join(side("b"), "b"), threshold), "stars")
@@ -292,7 +315,7 @@ def groups(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, k: int
         """The rows of nodes that still hold documents of several components."""
         named = rows.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
         several = named.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("node")
-        return scratch.write(named.join(several, "node").join(sets.select("key", "n", "sketch"), "key"), "mixed")
+        return scratch.write(named.join(several, "node").join(sets.select("key", "n", short("sketch").alias("short")), "key"), "mixed")
 
     # each document with its likeliest partner of another component, as in Boruvka's trees: components
     # of near copies close in a few rounds, before all pairs of what is left are looked at
@@ -330,7 +353,7 @@ def groups(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, k: int
             dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
             found.append(across(dealt, ["node", "lo", "hi"], threshold))
             break
-        rows = scratch.write(sized(branch(large.select("node", "key", "sketch"), threshold).distinct()), "nodes")
+        rows = scratch.write(sized(branch(large.select("node", "key").join(sets.select("key", "sketch"), "key"), threshold).distinct()), "nodes")
         level += LEVELS
     more = found[0]
     for x in found[1:]:
@@ -348,7 +371,7 @@ def groups(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, k: int
     least = member.groupBy("label").agg(F.min("id").alias("component"))
     alone = sets.select("key", F.col("id").alias("own"))
     final = alone.join(member.join(least, "label").select("key", "component"), "key", "left").select("key", F.coalesce("component", "own").alias("component"))
-    out = signed.join(final, "key", "left")
+    out = slim.join(final, "key", "left")
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     component = F.coalesce("component", "id")
     return out.select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(component != NO_ID, component).alias("component_id"), (F.col("id") == component).alias("kept"))
