@@ -160,11 +160,38 @@ def upsert(manifest: DataFrame, entry: DataFrame) -> DataFrame:
     return merged.unionByName(added)
 
 
-def duplicate_tensors(tensors: DataFrame) -> DataFrame:
-    """(name, canonical): tensors of equal type, shape and content, each with the first of its kind."""
-    key = ["dtype", "dims", "digest"]
-    first = tensors.groupBy(*key).agg(F.min_by("name", "pos").alias("canonical"))
-    return tensors.join(first, key).filter("name != canonical").select("name", "canonical")
+def duplicate_tensors(tensors: DataFrame, graph: str | None = None) -> DataFrame:
+    """(graph, name, canonical): tensors of equal type, shape and content, each with the first of its
+    kind, by ``pos``. A null type, shape or digest (a tensor that cannot be read) equals nothing. With ``graph``
+    named, tensors are shared within a graph only."""
+    by = [graph] if graph else []
+    key = [*by, "dtype", "dims", "digest"]
+    readable = tensors.filter("dtype IS NOT NULL AND dims IS NOT NULL AND digest IS NOT NULL")
+    first = readable.groupBy(*key).agg(F.min_by("name", F.struct("pos", "name")).alias("canonical"))
+    return readable.join(first, key).filter("name != canonical").select(*by, "name", "canonical")
+
+
+def share_tensors(nodes: DataFrame, tensors: DataFrame, graph: str = "graph", node: str = "node") -> tuple[DataFrame, DataFrame]:
+    """Nodes and tensors of graphs whose equal tensors are shared: every node input that names a
+    duplicate names the first of its kind instead, in its place, and duplicates are gone.
+
+    nodes: graph, node, inputs (an array of names; null, empty and null names stay as they are) and further
+    columns; (graph, node) identifies a row. tensors: graph, pos, name, dtype, dims, digest. Names are joined as rows, so
+    neither a graph's tensors nor the map must fit one task; only one node's inputs meet again."""
+    map_ = duplicate_tensors(tensors, graph).dropDuplicates([graph, "name"])
+    parts = nodes.select(graph, node, F.posexplode("inputs").alias("at", "name"))
+    named = parts.join(map_, [graph, "name"], "left").select(graph, node, F.struct("at", F.coalesce("canonical", "name").alias("name")).alias("input"))
+    changed = named.groupBy(graph, node).agg(F.transform(F.sort_array(F.collect_list("input")), lambda x: x["name"]).alias("renamed"))
+    out = nodes.join(changed, [graph, node], "left").withColumn("inputs", F.coalesce("renamed", "inputs")).select(*nodes.columns)
+    return out, tensors.join(map_, [graph, "name"], "left_anti").select(*tensors.columns)
+
+
+def sharing_report(tensors: DataFrame, graph: str = "graph") -> DataFrame:
+    """(graph, before, merged, after) initializers of each graph."""
+    merged = duplicate_tensors(tensors, graph).groupBy(graph).agg(F.count(F.lit(1)).alias("merged"))
+    before = tensors.groupBy(graph).agg(F.count(F.lit(1)).alias("before"))
+    n = F.coalesce("merged", F.lit(0))
+    return before.join(merged, graph, "left").select(graph, "before", n.alias("merged"), (F.col("before") - n).alias("after"))
 
 
 def content_name(path: Column, content: Column) -> Column:

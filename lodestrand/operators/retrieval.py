@@ -94,14 +94,18 @@ def weights(df: DataFrame, key: str, idf: DataFrame | None, dims: int = DIMS) ->
 
 
 def best(scored: DataFrame, query: str, item: str, k: int, least: float) -> DataFrame:
-    w = Window.partitionBy(query).orderBy(F.col("score").desc(), F.col(item))
+    """The k best of each query. Ties go to the first item, texts in the order of the Unicode collation
+    (a, A, b, e, é, f), those that are equal in it by their bytes."""
+    text = scored.schema[item].dataType.typeName() == "string"
+    w = Window.partitionBy(query).orderBy(F.col("score").desc(), *([F.collate(F.col(item), "UNICODE")] if text else []), F.col(item))
     return scored.filter(F.col("score") >= least).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def lexical_search(chunks: DataFrame, queries: DataFrame, key: str, query: str, scopes: object = ALL_SCOPES, k: int = 4, least: float = 0.05, dims: int = DIMS, query_idf: bool = False) -> DataFrame:
-    """Each query's k best chunks by cosine of the sparse vectors: a join on buckets, no nested loop."""
+def lexical_search(chunks: DataFrame, queries: DataFrame, key: str, query: str, scopes: object = ALL_SCOPES, k: int = 4, least: float = 0.05, dims: int = DIMS, query_idf: bool = False, idf: DataFrame | None = None) -> DataFrame:
+    """Each query's k best chunks by cosine of the sparse vectors: a join on buckets, no nested loop.
+    ``idf`` is the chunks' own, where none is given."""
     seen = visible(chunks, scopes)
-    idf = inverse_frequency(chunks, key)
+    idf = inverse_frequency(chunks, key) if idf is None else idf
     left = weights(queries, query, idf if query_idf else None, dims).withColumnRenamed("w", "wq")
     right = weights(seen, key, idf, dims)
     scored = right.join(left, "bucket").groupBy(query, key).agg(F.sum(F.col("w") * F.col("wq")).alias("score"))

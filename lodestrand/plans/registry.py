@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.markdown import html_to_markdown
 from ..operators import blend, catalog, corpus, evaluation, qa, retrieval, serving, tools
-from ..sources import files
-from ..session import attach
+from ..session import attach, checkpoints
+from ..sources import files, store
 from ..streaming import guard
 
 FLAGSHIP = "dataset_report"
@@ -462,3 +463,35 @@ def manifest_publish(spark, t):
     e = F.col("entry")
     graph = serving.text_or(e, "$.artifacts.onnx", "id", "repo")
     return serving.publish(entries, uploads).select("site", "pos", serving.at(e, "$.id").alias("id"), serving.at(e, "$.label").alias("label"), graph.alias("onnx"), serving.at(e, "$.artifacts.onnx.dtype").alias("dtype"), serving.at(e, "$.source").alias("source"))
+
+
+@query(f"""WITH d AS (SELECT * FROM documents WHERE lang IS DISTINCT FROM 'de'), n AS (SELECT greatest(count(*), 1) AS n FROM d),
+k AS (SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct({TOKENS.format('text')})) AS token FROM d) GROUP BY token)
+SELECT token, df, CAST(floor(ln(1 + n / (1 + df)::DOUBLE) * 1000000 + 0.5) / 1000000 AS DOUBLE) AS idf FROM k, n""")
+def index_in_place(spark, t):
+    """A stored index made of two batches, one of them added twice, without the scope that is purged."""
+    rows = t("documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("scope"))
+    index = store.StoredIndex.create(spark, f"{checkpoints(spark)}/index-{uuid.uuid4().hex}", "id long, text string, scope string")
+    for batch, even in (("even", True), ("odd", False), ("even", True)):
+        index.append(rows.filter((F.pmod("id", F.lit(2)) == 0) == even), batch)
+    index.purge("de")
+    return index.inverse_frequency().withColumn("idf", X.half_up(F.col("idf"), 6))
+
+
+@query("""WITH c AS (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_type, p_size, p_brand) AS first FROM part)
+SELECT l_orderkey AS node, string_agg('p' || first, ',' ORDER BY l_linenumber, l_partkey) AS inputs FROM lineitem JOIN c ON p_partkey = l_partkey GROUP BY l_orderkey""")
+def shared_tensors(spark, t):
+    """Orders as nodes, their lines' parts as inputs, and parts of one type, size and brand as equal tensors."""
+    tensors = t("part").select(F.lit("g").alias("graph"), F.col("p_partkey").alias("pos"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("name"), F.col("p_type").alias("dtype"), F.array(F.col("p_size").cast("long")).alias("dims"), F.col("p_brand").alias("digest"))
+    line = F.struct("l_linenumber", "l_partkey")
+    nodes = t("lineitem").groupBy(F.col("l_orderkey").alias("node")).agg(F.transform(F.sort_array(F.collect_list(line)), lambda x: F.concat(F.lit("p"), x["l_partkey"].cast("string"))).alias("inputs"))
+    renamed, _ = catalog.share_tensors(nodes.withColumn("graph", F.lit("g")), tensors)
+    return renamed.select("node", F.array_join("inputs", ",").alias("inputs"))
+
+
+@query("""WITH s AS (SELECT c_mktsegment AS query, c_name AS item, floor(c_acctbal / 1000) AS score FROM customer)
+SELECT query, item, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, lower(item), item) AS INTEGER) AS rank FROM s WHERE score >= 0 QUALIFY rank <= 10""")
+def ties_by_collation(spark, t):
+    """The ten richest customers of each segment by whole thousands; ties by name."""
+    scored = t("customer").select(F.col("c_mktsegment").alias("query"), F.col("c_name").alias("item"), F.floor(F.col("c_acctbal") / 1000).alias("score"))
+    return retrieval.best(scored, "query", "item", 10, 0).select("query", "item", "rank")

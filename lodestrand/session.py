@@ -37,13 +37,19 @@ def local(cores: int | str = "*", **conf: str) -> SparkSession:
     return attach(spark)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as rows in the checkpoint folder, for columns such as a partition's number that must not
-    be made twice. Without a folder in ``spark.checkpoint.dir``, one of our own on a single machine (tests)."""
-    context = df.sparkSession.sparkContext
+def checkpoints(spark: SparkSession) -> str:
+    """The application's folder below spark.checkpoint.dir. Without that setting, one of our own on a single machine (tests)."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodestrand-"))
+    return context.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as rows in the checkpoint folder, for columns such as a partition's number that must not
+    be made twice."""
+    checkpoints(df.sparkSession)
     return df.checkpoint()

@@ -13,12 +13,13 @@ def lines(df: DataFrame, path: str, order: list[str], hide: tuple[str, ...] = ()
     df.orderBy(*order).select(F.to_json(F.struct(*shown)).alias("value")).write.mode("overwrite").text(path)
 
 
-def write_dataset(folder: str, sft: DataFrame, preferences: DataFrame, prompts: DataFrame, holdout: DataFrame, report: DataFrame, order: dict[str, list[str]]) -> dict[str, str]:
-    """The five outputs of a dataset build; ``order`` has each output's sort keys. Returns their paths."""
+def write_dataset(folder: str, sft: DataFrame, preferences: DataFrame, prompts: DataFrame, holdout: DataFrame, report: DataFrame, order: dict[str, list[str]], hide: tuple[str, ...] = ()) -> dict[str, str]:
+    """The five outputs of a dataset build; ``order`` has each output's sort keys, ``hide`` columns that are
+    not written. Returns their paths."""
     parts = {"sft": sft, "dpo": preferences, "grpo": prompts, "holdout": holdout, "report": report}
     paths = {name: f"{folder}/dataset.{name}.jsonl" for name in parts}
     for name, df in parts.items():
-        lines(df, paths[name], order.get(name) or [df.columns[0]])
+        lines(df, paths[name], order.get(name) or [df.columns[0]], hide)
     return paths
 
 
