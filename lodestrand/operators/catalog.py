@@ -92,14 +92,14 @@ def ranking(*by: str) -> Window:
 def pick(fitted: DataFrame, prefer: str | None = None, force: bool = False) -> DataFrame:
     """One row a device: the preferred entry where it fits (or is forced), else the largest that fits,
     else the smallest if forced, else none, with the reasons against the smallest."""
-    w = ranking("device")
-    r = fitted.withColumns({"rank": F.row_number().over(w), "last": F.count(F.lit(1)).over(Window.partitionBy("device"))})
-    wanted = (F.col("id") == F.lit(prefer)) & (F.col("ok") | F.lit(force))
-    smallest = F.col("rank") == F.col("last")
-    claim = F.when(F.coalesce(wanted, F.lit(False)), 0).when(F.col("ok"), 1).when(smallest, 2)
-    first = r.withColumn("claim", claim).filter("claim IS NOT NULL").groupBy("device").agg(F.min_by(F.struct("id", "ok", "reasons", "claim"), F.struct("claim", "rank")).alias("c"))
-    chosen = (F.col("c.claim") < 2) | F.lit(force)
-    return first.select("device", F.when(chosen, F.col("c.id")).alias("picked"), (chosen & ~F.col("c.ok")).alias("forced"), F.col("c.reasons").alias("reasons"))
+    order = F.struct((-tier_number()).alias("tier"), (-F.coalesce("vram_bytes", F.lit(0.0))).alias("vram"), F.col("pos").alias("pos"))
+    entry = F.struct("id", "ok", "reasons")
+    wanted = F.coalesce((F.col("id") == F.lit(prefer)) & (F.col("ok") | F.lit(force)), F.lit(False))
+    first = lambda holds: F.min_by(entry, F.when(holds, order))
+    found = fitted.groupBy("device").agg(F.coalesce(first(wanted), first(F.col("ok"))).alias("best"), F.max_by(entry, order).alias("smallest"))
+    c = F.coalesce("best", "smallest")
+    chosen = F.col("best").isNotNull() | F.lit(force)
+    return found.select("device", F.when(chosen, c["id"]).alias("picked"), (chosen & ~c["ok"]).alias("forced"), c["reasons"].alias("reasons"))
 
 
 def smaller(entries: DataFrame, than: str) -> DataFrame:

@@ -360,32 +360,41 @@ def scope_list(spark, t):
     return retrieval.scope_list(scoped(t))
 
 
-LIBRARY = [("tiny-1", 2.7e8, 1, "tiny", True, True), ("small-1", 9.1e8, 2, "small", False, False), ("mid-1", 3.2e9, 4, "mid", False, False)]
-ENTRIES = [(0, "a", "tiny-1", None, None), (1, "b", "Small-1", None, None), (2, "c", "MID-1", None, None), (3, "d", "unknown", 1.0e9, None), (4, "e", "none", None, 6)]
-DEVICES = [("phone", False, True, 8, None, None), ("laptop", True, False, 8, 16.0, 1 << 31), ("old", False, False, 2, None, None), ("tablet", True, True, 4, 3.0, None)]
-
-
-def fitted(spark) -> DataFrame:
-    library = spark.createDataFrame(LIBRARY, "name string, vram_bytes double, min_memory_gb int, tier string, mobile_ok boolean, cpu_ok boolean")
-    entries = spark.createDataFrame([(p, i, b, g, m) for p, i, b, g, m in ENTRIES], "pos int, id string, base string, gguf_bytes double, own_min_memory_gb int")
-    entries = entries.withColumns({c: F.lit(None).cast("string") for c in ("webllm", "onnx", "gguf")}).withColumn("own_vram_bytes", F.lit(None).cast("double"))
-    hardware = spark.createDataFrame(DEVICES, "device string, webgpu boolean, mobile boolean, cores int, device_memory_gb double, max_buffer long")
+def fitted(t) -> DataFrame:
+    """Parts as models, which name a brand of the library, have a file or are unknown; nations as devices."""
+    part, nation = t("part"), t("nation")
+    size = F.substring("p_brand", 7, 2).cast("int")
+    brands = part.select("p_brand").distinct()
+    memory, kind = F.when(size % 2 == 0, size % 9), F.when(size % 3 == 0, "tiny").when(size % 3 == 1, "mid")
+    library = brands.select(F.lower("p_brand").alias("name"), (size * 1e8).alias("vram_bytes"), memory.alias("min_memory_gb"), kind.alias("tier"), (size < 20).alias("mobile_ok"), (size < 30).alias("cpu_ok"))
+    known, none = F.col("p_size") % 3, F.lit(None).cast("string")
+    entries = part.select(
+        F.col("p_partkey").alias("pos"), F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("id"), F.when(known == 0, F.col("p_brand")).alias("base"), *[none.alias(c) for c in ("webllm", "onnx", "gguf")],
+        F.when(known == 1, F.col("p_retailprice").cast("double") * 1e6).alias("gguf_bytes"), F.lit(None).cast("double").alias("own_vram_bytes"), F.when(F.col("p_size") % 5 == 0, F.col("p_size") % 7).cast("int").alias("own_min_memory_gb"),
+    )
+    n = F.col("n_nationkey")
+    hardware = nation.select(F.col("n_name").alias("device"), (n % 2 == 0).alias("webgpu"), (n % 3 == 0).alias("mobile"), (n % 12).cast("int").alias("cores"), F.when(n % 4 == 0, n / 2).alias("device_memory_gb"), F.when(n % 5 == 0, F.lit(1 << 31)).alias("max_buffer"))
     return catalog.fit(catalog.requirements(entries, library), hardware)
 
 
-FITTED = """f AS (SELECT * FROM (VALUES (0, 'a', 2.7e8, 1, 0, false, true), (1, 'b', 9.1e8, 2, 1, true, false), (2, 'c', 3.2e9, 4, 2, true, false), (3, 'd', 1.3e9, 2, 1, true, true), (4, 'e', 0.0, 6, 2, false, true)) AS e(pos, id, vram, mem, tier, gpu, mob),
-(VALUES ('phone', false, true, 4.0), ('laptop', true, false, 16.0), ('old', false, false, 2.0), ('tablet', true, true, 3.0)) AS h(device, webgpu, mobile, budget)),
-o AS (SELECT *, (gpu AND NOT webgpu)::INT + (mem > budget)::INT + (mobile AND NOT mob)::INT AS against FROM f)"""
+FITTED = """b AS (SELECT DISTINCT p_brand, CAST(substr(p_brand, 7, 2) AS INTEGER) AS z FROM part),
+l AS (SELECT p_brand, z * 1e8 AS vram, CASE WHEN z % 2 = 0 THEN z % 9 END AS mem, CASE z % 3 WHEN 0 THEN 0 WHEN 1 THEN 2 END AS tier, z < 20 AS mob, z < 30 AS cpu FROM b),
+v AS (SELECT p_partkey AS pos, 'm' || p_partkey AS id, CASE WHEN p_size % 5 = 0 THEN nullif(p_size % 7, 0) END AS own, l.*, coalesce(l.vram, CASE WHEN p_size % 3 = 1 THEN round(CAST(p_retailprice AS DOUBLE) * 1e6 * 1.3) END) AS bytes FROM part LEFT JOIN l ON l.p_brand = part.p_brand AND p_size % 3 = 0),
+e AS (SELECT pos, id, coalesce(bytes, 0) AS bytes, coalesce(own, mem, CASE WHEN bytes <= 5e8 THEN 1 WHEN bytes <= 1.6e9 THEN 2 WHEN bytes <= 3.2e9 THEN 4 WHEN bytes IS NOT NULL THEN 8 END, 2) AS mem,
+ coalesce(tier, CASE WHEN coalesce(bytes, 2e9) < 5e8 THEN 0 WHEN coalesce(bytes, 2e9) < 1.6e9 THEN 1 WHEN coalesce(bytes, 2e9) < 4.5e9 THEN 2 ELSE 3 END) AS tier, coalesce(NOT cpu, coalesce(bytes, 0) > 1e9) AS gpu, coalesce(mob, coalesce(bytes, 0) < 1.5e9) AS mob FROM v),
+d AS (SELECT n_name AS device, n_nationkey % 2 = 0 AS webgpu, n_nationkey % 3 = 0 AS mobile, n_nationkey % 12 AS cores, CASE WHEN n_nationkey % 4 = 0 THEN n_nationkey / 2.0 END AS told, n_nationkey % 5 = 0 AS roomy FROM nation),
+h AS (SELECT *, CASE WHEN told > 0 THEN told WHEN mobile THEN CASE WHEN cores >= 8 THEN 4 ELSE 2 END WHEN webgpu THEN CASE WHEN roomy OR cores >= 8 THEN 8 ELSE 4 END WHEN cores >= 8 THEN 4 ELSE 2 END AS budget FROM d),
+o AS (SELECT *, (gpu AND NOT webgpu)::INT + (mem > budget)::INT + (mobile AND NOT mob)::INT AS against FROM e, h)"""
 
 
 @query(f"WITH {FITTED} SELECT device, id, against = 0 AS ok, against AS reasons FROM o")
 def tier_fit_reasons(spark, t):
-    return fitted(spark).select("device", "id", "ok", F.size("reasons").alias("reasons"))
+    return fitted(t).select("device", "id", "ok", F.size("reasons").alias("reasons"))
 
 
-@query(f"WITH {FITTED} SELECT device, arg_min(id, (-tier, -vram, pos)) FILTER (against = 0) AS picked, false AS forced FROM o GROUP BY device")
+@query(f"WITH {FITTED} SELECT device, arg_min(id, (-tier, -bytes, pos)) FILTER (against = 0) AS picked, false AS forced FROM o GROUP BY device")
 def tier_pick(spark, t):
-    return catalog.pick(fitted(spark)).select("device", "picked", "forced")
+    return catalog.pick(fitted(t)).select("device", "picked", "forced")
 
 
 @query("""WITH s AS (SELECT event_type, event_id, value, sum(value) OVER (PARTITION BY event_type) AS total, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rank FROM events WHERE value > 0),
