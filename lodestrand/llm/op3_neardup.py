@@ -12,8 +12,8 @@ union are linked. Equal sets are one vertex, so copies cost one row. Over the di
   pairs: first each document with the least that it shares a node with, then, for a few rounds, with
   the one partner of another component, over all its nodes, whose sketch agrees most; confirmed
   links are closed to components after each round, so a round adds at most one link a document. Only nodes that still hold several components are then compared exhaustively, across
-  components. Nodes that are too large for that branch further; what cannot be split is compared
-  in blocks.
+  components. Nodes that are too large for that branch further; those that still hold more than
+  ``WHOLE`` documents at the last level are compared in blocks.
 * A *sketch* of all minwise hashes drops pairs that are more than ``DEVIATIONS`` standard deviations below
   the threshold. Beside it lie the *parities* of the set's hashes in ``PARITIES`` bins: bins whose parities
   differ each hold an element of one set alone, so they bound the sets' difference from below and
@@ -51,7 +51,8 @@ NO_ID = 2**63 - 1
 LEVELS = 3  # levels of a tree between two looks at the nodes' sizes
 MOST_LEVELS = 12
 CLOSING = 2  # rounds, at most, of nearest partners; more of them found next to nothing
-SMALL = 200  # documents of a node that are compared exhaustively
+SMALL = 200  # documents of a node that are compared exhaustively while it can still branch
+WHOLE = 1000  # and when it cannot; larger nodes then meet in blocks of half as many
 
 
 def shingle_sets(texts: pa.Array, k: int):
@@ -341,12 +342,14 @@ def groups(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, k: int
     while True:
         held = mixed(rows)
         read += [rows, held]
-        found.append(across(held.filter(F.col("size") <= SMALL), ["node"], threshold))
-        large = held.filter(F.col("size") > SMALL)
+        last = level >= MOST_LEVELS
+        most = WHOLE if last else SMALL
+        found.append(across(held.filter(F.col("size") <= most), ["node"], threshold))
+        large = held.filter(F.col("size") > most)
         if large.isEmpty():
             break
-        if level >= MOST_LEVELS:
-            half = SMALL // 2
+        if last:
+            half = WHOLE // 2
             block = F.pmod(F.xxhash64("key"), F.col("many"))
             dealt = large.withColumn("many", F.ceil(F.col("size") / half)).withColumn("block", block)
             # every block meets every other: a row joins the pairs of blocks that its own is part of

@@ -173,6 +173,17 @@ def test_op3_equals_brute_force(spark, docs, empty, percent):
         assert kept.columns == docs.columns and kept.filter("doc_id = 78").count() == 0
 
 
+@pytest.mark.parametrize("whole", [4, 1000])
+def test_op3_large_nodes_lose_no_link(spark, monkeypatch, whole):
+    """A chain of near copies that only the exhaustive step may close, whole and in blocks."""
+    for name, value in {"CLOSING": 0, "SMALL": 2, "WHOLE": whole, "MOST_LEVELS": 3}.items():
+        monkeypatch.setattr(op3_neardup, name, value)
+    chain = [(i, " ".join(f"w{j}" for j in range(i, i + 60))) for i in range(40)]
+    apart = [(100 + i, " ".join(f"x{i}y{j}" for j in range(60))) for i in range(5)]
+    got = op3_neardup.groups(spark, spark.createDataFrame(chain + apart, "doc_id long, text string"), 0.8).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: 0 for i, _ in chain} | {i: i for i, _ in apart}
+
+
 @pytest.mark.parametrize("size", [1, 7, 60, 400, 3000])
 def test_op3_parities_rule_out_no_link(size):
     rng = np.random.default_rng(size)
