@@ -205,9 +205,9 @@ def loop_detect(spark, t):
     return t("documents").select("doc_id", X.has_loop(F.col("text")).alias("looped"))
 
 
-def staged_keywords(table: str, key: str, c: str, most: int, name: str) -> str:
+def staged_keywords(table: str, key: str, c: str, most: int, name: str, stop_words: list[str] = X.STOP_WORDS) -> str:
     """First appearances, case aside, of named things; then of long plain words that are no stop words."""
-    stops = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+    stops = ", ".join(f"'{w}'" for w in stop_words)
     return rf"""{name}_n AS (SELECT {key}, {c} AS t, list_filter(list_transform(regexp_extract_all({c}, '(`[^`]{{1,40}}`|\b\d[\d,._-]*\b|\b[A-Z][A-Za-z0-9_.!/+:-]{{2,}})', 1), lambda x: replace(x, '`', '')), lambda x: length(x) >= 2) AS xs FROM {table}),
 {name}_u AS (SELECT {key}, any_value(x ORDER BY i) AS x, min(i) AS i FROM (SELECT {key}, unnest(xs) AS x, generate_subscripts(xs, 1) AS i FROM {name}_n) GROUP BY {key}, lower(x)),
 {name}_h AS (SELECT {key}, list_slice(list(x ORDER BY i), 1, {most}) AS head FROM {name}_u GROUP BY {key}),
@@ -244,7 +244,9 @@ def faithfulness(spark, t):
     return blend.first_pair(t("conversations")).select("conv_id", f.alias("f")).select("conv_id", "f.score", F.size("f.untraced").alias("untraced"))
 
 
-@query()
+@query(f"""WITH p AS ({FIRST}), {staged_keywords('p', 'conv_id', 'prompt', 8, 'kw', X.REWARD_STOP_WORDS)},
+r AS (SELECT p.conv_id, prompt, reference, CASE WHEN len(k) = 0 THEN 1.0 ELSE len(list_filter(k, lambda x: contains(lower(reference), lower(x)))) / CAST(len(k) AS DOUBLE) END * CASE WHEN length(reference) > 3 * length(prompt) THEN 0.5 ELSE 1.0 END AS score FROM p JOIN kw ON kw.conv_id = p.conv_id)
+SELECT conv_id, CAST(CASE WHEN regexp_replace(reference, '\\s+', '', 'g') = '' THEN 0.0 WHEN prompt = '' THEN least(1.0, 200.0 / length(reference)) ELSE floor(score * 10000 + 0.5) / 10000 END AS DOUBLE) AS reward FROM r""")
 def reward(spark, t):
     return blend.first_pair(t("conversations")).select("conv_id", X.reward(F.col("reference"), F.col("prompt")).alias("reward"))
 
