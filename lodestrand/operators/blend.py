@@ -65,6 +65,7 @@ def round_robin(buckets: list[DataFrame], order: list[str], most: int) -> DataFr
 def sft(chunks: DataFrame, site: str = "this website", summary: str | None = None, most: int = 5000, extra: DataFrame | None = None) -> DataFrame:
     """Questions, extra rows, small talk and summaries, interleaved; summaries fill what the others leave."""
     order = ["position", "ordinal", "stage", "emit"]
+    chunks = chunks.persist()  # read for questions, then for summaries
     staged = lambda df: df.withColumns({"stage": F.lit(0), "emit": F.lit(0)})
     questions = qa.question_rows(chunks, site, int(most * SHARES["qa"])).drop("commands_only").persist()  # read for its size, then for its rows
     talk = staged(small_talk(chunks.sparkSession, site, summary).orderBy("ordinal").limit(max(int(most * SHARES["converse"]), 1)))
@@ -121,12 +122,21 @@ def swap_entities(c: Column) -> Column:
 
 
 def concise_pairs(rows: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Short answers against the whole chunk they come from, where that is more than twice as long."""
+    """Short answers against the whole chunk they come from, where that is more than twice as long.
+
+    A source may have any number of chunks of one ordinal; a row takes the first that is long enough. That is one
+    which is longer than all before it, so rows meet those alone, by position and length: no more than chunks
+    have lengths, whatever the source's size. The texts of what they take are joined afterwards."""
+    place = ["source", "ordinal", "chunk_position", "size"]
     short = rows.filter((F.col("kind") != "converse") & (F.length("answer") <= SHORT))
-    dump = chunks.select("source", "ordinal", F.col("position").alias("chunk_position"), F.col("text").alias("dump"))
-    both = short.join(dump, ["source", "ordinal"]).filter(F.length("dump") > 2 * F.length("answer"))
-    first = both.withColumn("pick", F.row_number().over(Window.partitionBy("source", "ordinal", "question", "kind", "turn").orderBy("chunk_position"))).filter("pick = 1")
-    return first.select("turn", "source", "ordinal", F.col("question").alias("prompt"), F.col("answer").alias("chosen"), F.substring("dump", 1, 2000).alias("rejected"), F.lit("dpo-concise").alias("kind"))
+    dump = chunks.select("source", "ordinal", F.col("position").alias("chunk_position"), F.length("text").alias("size"), F.col("text").alias("dump"))
+    lengths = dump.groupBy("source", "ordinal", "size").agg(F.min("chunk_position").alias("chunk_position"))
+    longer = Window.partitionBy("source", "ordinal").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    longest = lengths.withColumn("before", F.min("chunk_position").over(longer)).filter("before IS NULL OR chunk_position < before").drop("before")
+    both = short.join(longest, ["source", "ordinal"]).filter(F.col("size") > 2 * F.length("answer"))
+    taken = first_of_each(both.select("turn", *place, "question", "answer", "kind"), ["source", "ordinal", "question", "kind", "turn"], ["chunk_position", "answer"])
+    texts = first_of_each(dump.join(taken.select(*place).distinct(), place, "left_semi"), place, ["dump"])
+    return taken.join(texts, place).select("turn", "source", "ordinal", F.col("question").alias("prompt"), F.col("answer").alias("chosen"), F.substring("dump", 1, 2000).alias("rejected"), F.lit("dpo-concise").alias("kind"))
 
 
 def faithful_pairs(rows: DataFrame) -> DataFrame:
