@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: White space as ECMAScript has it.
 WS = r"[\t\n\x0B\f\r    -     　﻿]"
 NOT_WS = "[^" + WS[1:]
+#: The same, one after the other: what trims take.
+BLANKS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 #: Lines that look like commands, and prompts of debuggers and shells.
 COMMAND_LINE = r"^(" + WS + r"*(kd>|gdb>|\(gdb\)|\$|#|>|!|0:|" + WS + r"{0,3}[0-9]+[.)]" + WS + r"+`?)|.*`[^`]+`.*\z)"
@@ -20,8 +22,9 @@ PROMPT_LINE = r"^(kd>|gdb>|\(gdb\)|\$|#|>)"
 PROBE_LINE = r"^(!|kd>|gdb>|\(gdb\)|\$|#|>)"
 
 #: What separates sentences, and how definitions read.
-SENTENCE_GAP = r"(?<=[.!?])" + WS + r"+(?=[A-Z0-9`\"'(#])"
+SENTENCE_GAP = r" (?<=[.!?] )(?=[A-Z0-9`\"'(#])"  # of collapsed text; the blank first, as looking behind at each place is slow
 DEFINITION = r"^([^\n\r]{3,60}?)" + WS + r"+(is|are|refers? to|means?)" + WS + r"+([^\n\r]+)\z"
+DEFINES = (" is ", " are ", " refer to ", " refers to ", " mean ", " means ")  # one of these is in a collapsed definition
 TERM_LIKE = r"^(`[^`]+`|\"[^\"]+\"|[A-Z][A-Za-z0-9_.!:+/-]*(" + WS + r"+[A-Z][A-Za-z0-9_.!:+/-]*)*|[A-Za-z_][A-Za-z0-9_]*(::[A-Za-z0-9_]+)+)"
 
 #: Words that are no keywords, in the scorer and in the reward.
@@ -46,17 +49,24 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def fitting(value: Column, fits) -> Column:
+    """One row with the value where ``fits(value)``, else none. A filter behind a selection is pushed below it,
+    so that the value would be made twice; it is not pushed below a generator."""
+    return F.explode(F.filter(F.array(value), fits))
+
+
 def trim(c: Column) -> Column:
-    """Both ends, all white space; Spark's own trim takes blanks alone."""
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+\z", "")
+    """Both ends, all white space; Spark's own trim takes blanks alone, where it is told nothing else."""
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def trim_end(c: Column) -> Column:
-    return F.regexp_replace(c, rf"{WS}+\z", "")
+    return F.rtrim(c, F.lit(BLANKS))
 
 
 def collapse(c: Column) -> Column:
-    return F.regexp_replace(c, rf"{WS}+", " ")
+    """Runs of white space as one blank. Visible ASCII is told by one range, and lone blanks, as nearly all are, stay."""
+    return F.regexp_replace(c, rf"[^!-~](?:(?<= ){WS}+|(?<=[{WS[1:-1].replace(' ', '', 1)}]){WS}*)", " ")
 
 
 def half_up(c: Column, digits: int) -> Column:
@@ -99,7 +109,7 @@ def clean_text(c: Column) -> Column:
 
 
 def sentences(c: Column) -> Column:
-    return F.filter(F.transform(F.split(collapse(text(c)), SENTENCE_GAP, -1), trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(collapse(text(c)), SENTENCE_GAP, -1), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def compress(c: Column, max_chars: int = 600, max_sentences: int = 4) -> Column:
@@ -124,9 +134,8 @@ def compress(c: Column, max_chars: int = 600, max_sentences: int = 4) -> Column:
 
 def command_density(c: Column) -> Column:
     """Lines that look like commands, of all full lines; headings count as lines only."""
-    full = full_lines(text(c))
-    hits = F.filter(full, lambda x: ~x.rlike(rf"^#{{1,4}}{WS}") & x.rlike(COMMAND_LINE))
-    return F.when(F.size(full) > 0, F.size(hits) / F.size(full)).otherwise(F.lit(0.0))
+    hits = lambda full: F.filter(full, lambda x: ~x.rlike(rf"^#{{1,4}}{WS}") & x.rlike(COMMAND_LINE))
+    return let(full_lines(text(c)), lambda full: F.when(F.size(full) > 0, F.size(hits(full)) / F.size(full)).otherwise(F.lit(0.0)))
 
 
 def first_by_lower(terms: Column) -> Column:

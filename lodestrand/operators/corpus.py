@@ -96,7 +96,7 @@ def chunks(docs: DataFrame, source: str, position: str, size: int = 2000, overla
     """(source, position, ordinal, text, hash); windows that are too short go before they are hashed.
     paragraphs=False takes texts as free of blank lines, as cleaned ones are."""
     cut = windows(F.col("text"), size, overlap) if paragraphs else sliced(X.text("text"), size, overlap)
-    out = docs.select(F.col(source).alias("source"), F.col(position).alias("position"), F.posexplode(cut).alias("ordinal", "text")).withColumn("text", X.trim(F.col("text"))).filter(F.length("text") >= least)
+    out = docs.select(F.col(source).alias("source"), F.col(position).alias("position"), F.posexplode(F.transform(cut, X.trim)).alias("ordinal", "text")).filter(F.length("text") >= least)
     return fingerprint(out)
 
 
@@ -150,7 +150,7 @@ def retrieval_chunks(docs: DataFrame, key: str, size: int = 1200, overlap: int =
     cut = sections(docs, key)
     by_doc = Window.partitionBy(key)
     titled = cut.withColumn("first_heading", F.min(F.when(F.col("heading").isNotNull(), F.struct("section", "heading"))).over(by_doc)["heading"])
-    parts = titled.filter("body != ''").select("*", F.posexplode(windows(F.col("body"), size, overlap)).alias("part", "window")).withColumn("window", X.trim(F.col("window"))).filter(F.length("window") >= least)
+    parts = titled.filter("body != ''").select("*", F.posexplode(F.transform(windows(F.col("body"), size, overlap), X.trim)).alias("part", "window")).filter(F.length("window") >= least)
     numbered = parts.withColumn("ordinal", F.row_number().over(by_doc.orderBy("section", "part")) - 1).join(meta, key)
     name = F.coalesce("first_heading", "own_title")
     prefix = F.concat(F.repeat(F.lit("#"), F.when(F.col("level") > 0, F.col("level")).otherwise(2)), F.lit(" "), F.col("heading"), F.lit("\n\n"))
