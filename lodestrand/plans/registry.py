@@ -292,7 +292,7 @@ def pref_merge(spark, t):
 SELECT source, position, ordinal, gold AS chosen, substr(text, 1, 2000) AS rejected FROM e WHERE gold <> '' AND length(gold) <= 600 AND length(text) > 2 * length(gold)""")
 def pref_concise(spark, t):
     kept = corpus.dedup(chunked(t)).withColumn("source", F.concat_ws("#", "source", "position"))
-    rows = kept.select(F.col("position").alias("turn"), "source", "ordinal", F.concat_ws("::", "source", "ordinal").alias("question"), X.compress(F.col("text")).alias("answer"), F.lit("fact-qa").alias("kind")).filter("answer != ''")
+    rows = kept.select(F.col("position").alias("turn"), "source", "ordinal", F.concat_ws("::", "source", "ordinal").alias("question"), X.fitting(X.compress(F.col("text")), lambda a: a != "").alias("answer"), F.lit("fact-qa").alias("kind"))
     return blend.concise_pairs(rows, kept).select(F.element_at(F.split("source", "#"), 1).alias("source"), F.col("turn").alias("position"), "ordinal", "chosen", "rejected")
 
 
