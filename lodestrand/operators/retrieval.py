@@ -6,12 +6,17 @@ nothing is seen. Scopes are filtered before anything is ranked.
 
 from __future__ import annotations
 
+import re
+import sys
 import unicodedata
 from dataclasses import dataclass
+from functools import cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 
@@ -19,6 +24,7 @@ PUBLIC = "public"
 ALL_SCOPES = object()
 DIMS = 512
 SMALL_QUERIES = 10_000  # rows of a query side that may be broadcast
+BLOCK = 1000  # chunks, and queries, of a block of a lexical search
 #: Fixed value: what the model is told about its passages.
 INSTRUCTIONS = "Answer using the numbered passages below. Cite the passages you use like [1]. If they do not contain the answer, say so."
 
@@ -56,20 +62,38 @@ def publishable(chunks: DataFrame) -> DataFrame:
     return chunks.filter(scope_of("scope") == PUBLIC)
 
 
-def folded(c: Column) -> Column:
-    """Lower case without accents. ASCII never leaves the JVM."""
+@cache
+def foldings() -> tuple[dict[str, str], dict[str, str]]:
+    """What characters become in lower case without accents, where that is one character (or none), and where it
+    is several, of characters that become anything of a token. All others end a token, as they are."""
+    one, several = {}, {}
+    for c in map(chr, (*range(0xD800), *range(0xE000, sys.maxunicode + 1))):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c.lower()) if not "\u0300" <= x <= "\u036f")
+        plain = re.sub("[^a-z0-9_]", " ", plain)  # a capital that only the decomposition brings ends a token
+        if plain != c and (not plain or re.search("[a-z0-9_]", plain)):
+            (one if len(plain) < 2 else several)[c] = plain
+    return one, several
 
-    @F.pandas_udf("string")
-    def fold(s: pd.Series) -> pd.Series:
-        strip = lambda t: "".join(x for x in unicodedata.normalize("NFKD", t) if not "̀" <= x <= "ͯ")
-        return s.map(lambda t: None if t is None else strip(t.lower()))
 
-    t = X.text(c)
-    return F.coalesce(fold(F.when(t.rlike(r"[^\x00-\x7F]"), t)), F.lower(t))
+def folded(c: Column) -> Column:
+    """Lower case without accents, of all characters that a token may hold or that vanish; others stay."""
+    one, several = foldings()
+    some = "".join(several)
+    spelled = F.str_to_map(F.lit("\1".join(f"{k}\2{v}" for k, v in several.items())), F.lit("\1"), F.lit("\2"))
+    pieces = F.regexp_extract_all(c, F.lit(r"[^\x00-\x7F]|[\x00-\x7F]+"), F.lit(0))
+    longer = F.when(c.rlike(rf"(?![\x00-\x7F])[{some}]"), F.array_join(F.transform(pieces, lambda p: F.coalesce(F.element_at(spelled, p), p)), "")).otherwise(c)
+    kept = {k: v for k, v in one.items() if v}
+    gone = [k for k, v in one.items() if not v]
+    return F.translate(longer, "".join([*kept, *gone]), "".join(kept.values()))
 
 
 def lexical_tokens(c: Column) -> Column:
-    return F.filter(F.split(folded(c), "[^a-z0-9_]+", -1), lambda t: F.length(t).between(3, 23))
+    """Tokens of 3 to 23 characters. ASCII texts are only lowered; of others the words that are not ASCII are folded."""
+    t = X.text(c)
+    parts = lambda x: F.split(x, "[^a-z0-9_]+", -1)
+    words = F.split(t, r"[\x00-/:-@\[-^`{-\x7F]+", -1)
+    mixed = F.flatten(F.transform(words, lambda w: F.when(F.length(w) == F.octet_length(w), F.array(F.lower(w))).otherwise(parts(folded(w)))))
+    return F.filter(F.when(F.length(t) == F.octet_length(t), parts(F.lower(t))).otherwise(mixed), lambda x: F.length(x).between(3, 23))
 
 
 def term_counts(df: DataFrame, key: str) -> DataFrame:
@@ -83,12 +107,19 @@ def inverse_frequency(df: DataFrame, key: str) -> DataFrame:
     return seen.crossJoin(F.broadcast(n)).select("token", "df", F.ln(1 + F.col("n") / (1 + F.col("df"))).alias("idf"))  # one row
 
 
+def hashed_terms(df: DataFrame, key: str, idf: DataFrame | None, dims: int = DIMS) -> DataFrame:
+    """(key, bucket, w) of each distinct term of a row; unknown tokens weigh 1. Tokens that ``idf`` knows are hashed once."""
+    bucket = lambda token: F.pmod(X.fnv1a32(token), F.lit(dims)).cast("int")
+    terms = term_counts(df, key)
+    if idf is None:
+        return terms.select(key, bucket(F.col("token")).alias("bucket"), (1 + F.ln("tf")).alias("w"))
+    known = terms.join(idf.select("token", "idf", bucket(F.col("token")).alias("known")), "token", "left")
+    return known.select(key, F.when(F.col("known").isNotNull(), F.col("known")).otherwise(bucket(F.col("token"))).alias("bucket"), ((1 + F.ln("tf")) * F.coalesce("idf", F.lit(1.0))).alias("w"))
+
+
 def weights(df: DataFrame, key: str, idf: DataFrame | None, dims: int = DIMS) -> DataFrame:
     """(key, bucket, w): hashed, sublinear term weights, scaled to length one; unknown tokens weigh 1."""
-    terms = term_counts(df, key)
-    weighed = terms.withColumn("idf", F.lit(1.0)) if idf is None else terms.join(idf.select("token", "idf"), "token", "left")
-    hashed = weighed.select(key, F.pmod(X.fnv1a32(F.col("token")), F.lit(dims)).cast("int").alias("bucket"), ((1 + F.ln("tf")) * F.coalesce("idf", F.lit(1.0))).alias("w"))
-    summed = hashed.groupBy(key, "bucket").agg(F.sum("w").alias("w"))
+    summed = hashed_terms(df, key, idf, dims).groupBy(key, "bucket").agg(F.sum("w").alias("w"))
     norm = summed.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return summed.join(norm, key).select(key, "bucket", F.when(F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(F.col("w")).alias("w"))
 
@@ -102,16 +133,52 @@ def best(scored: DataFrame, query: str, item: str, k: int, least: float) -> Data
 
 
 def lexical_search(chunks: DataFrame, queries: DataFrame, key: str, query: str, scopes: object = ALL_SCOPES, k: int = 4, least: float = 0.05, dims: int = DIMS, query_idf: bool = False, idf: DataFrame | None = None) -> DataFrame:
-    """Each query's k best chunks by cosine of the sparse vectors: a join on buckets, no nested loop.
-    ``idf`` is the chunks' own, where none is given."""
+    """Each query's k best chunks by cosine of the hashed vectors. ``idf`` is the chunks' own, where none is given.
+
+    Blocks of chunks meet blocks of queries as matrices, and each pair of blocks gives its k best of a query
+    alone (and what ties with them), so no row is made for a chunk and a query."""
     seen = visible(chunks, scopes)
     idf = inverse_frequency(chunks, key) if idf is None else idf
-    left = weights(queries, query, idf if query_idf else None, dims).withColumnRenamed("w", "wq")
-    right = weights(seen, key, idf, dims)
-    scored = right.join(left, "bucket").groupBy(query, key).agg(F.sum(F.col("w") * F.col("wq")).alias("score"))
+    many = lambda df: max(1, -(-df.count() // BLOCK))
+    of_chunks, of_queries = many(seen), many(queries)
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = hashed_terms(queries, query, idf if query_idf else None, dims).groupBy(query).agg(F.collect_list("bucket").alias("buckets"), F.collect_list("w").alias("ws"))
+    left = asked.select(F.col(query).alias("query"), "buckets", "ws", every(of_chunks).alias("chunk_block"), block(query, of_queries).alias("query_block"))
+    right = hashed_terms(seen, key, idf, dims).select(F.col(key).alias("item"), "bucket", "w", block(key, of_chunks).alias("chunk_block"))
+    right = right.withColumn("query_block", every(of_queries) if of_queries > 1 else F.lit(0))
+    schema = T.StructType([T.StructField(query, queries.schema[query].dataType), T.StructField(key, seen.schema[key].dataType), T.StructField("score", T.DoubleType())])
+    found = block_search(k, least, dims, schema.names)
+    scored = right.groupBy("chunk_block", "query_block").cogroup(left.groupBy("chunk_block", "query_block")).applyInArrow(found, schema)
     return best(scored, query, key, k, least)
 
 
+def block_search(k: int, least: float, dims: int, names: list[str]):
+    """A function of a block's terms (item, bucket, w) and of queries (query, buckets, ws), for ``lexical_search``."""
+
+    def unit(row: np.ndarray, bucket: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+        """The vectors of rows, scaled to length one."""
+        v = np.bincount(row * dims + bucket, w, n * dims).reshape(n, dims)
+        norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+        return np.divide(v, norm, out=v, where=norm > 0)
+
+    def search(terms: pa.Table, asked: pa.Table) -> pa.Table:
+        item, query = terms.column("item").combine_chunks().dictionary_encode("encode"), asked.column("query")
+        if not len(item) or not len(query):
+            return pa.table([query.slice(0, 0), terms.column("item").slice(0, 0), pa.array([], pa.float64())], names)
+        flat = lambda c: asked.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        sizes = [len(x) for x in asked.column("buckets")]
+        chunks = unit(item.indices.to_numpy().astype(np.int64), terms.column("bucket").to_numpy(), terms.column("w").to_numpy(), len(item.dictionary))
+        raw = unit(np.repeat(np.arange(len(query)), sizes), flat("buckets"), flat("ws"), len(query)) @ chunks.T
+        # the last digits depend on the order of sums: without them, copies tie
+        score = np.where(raw > 0, np.round(raw, 12), -np.inf)
+        bound = np.partition(score, -k, axis=1)[:, -k] if 0 < k < score.shape[1] else np.full(len(score), -np.inf)
+        q, i = np.nonzero((score >= bound[:, None]) & (score >= least) & (raw > 0))
+        return pa.table([query.take(pa.array(q)), item.dictionary.take(pa.array(i)), pa.array(score[q, i])], names)
+
+    return search
+
+
 def dot(a: Column, b: Column) -> Column:
     n = F.least(F.size(a), F.size(b))
     return F.aggregate(F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

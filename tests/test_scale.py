@@ -2,11 +2,13 @@
 
 import random
 import re
+import sys
+import unicodedata
 
 from pyspark.sql import functions as F
 
 from lodestrand.functions import text as X
-from lodestrand.operators import blend, qa
+from lodestrand.operators import blend, qa, retrieval
 
 
 def test_white_space_as_plain_regexes_have_it(spark):
@@ -57,3 +59,30 @@ def test_questions_come_from_one_reading(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1 and "Union" not in plan
     assert {r["kind"] for r in out.collect()} == {"definition", "fact-qa", "faq"}
+
+
+def test_tokens_of_every_character_without_python(spark):
+    """Each character between two letters, against Python's lower case and decomposition."""
+    chars = [chr(i) for i in (*range(1, 0xD800), *range(0xE000, sys.maxunicode + 1, 7), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F1A0), *range(0xF900, 0x10000))]
+    texts = ["xy" + " ab".join(f"{c}cd" for c in chars[i : i + 200]) for i in range(0, len(chars), 200)] + ["plain ASCII TEXT", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4)
+    out = df.select("t", retrieval.lexical_tokens(F.col("t")).alias("k"))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    for r in out.collect():
+        plain = "".join(x for x in unicodedata.normalize("NFKD", (r["t"] or "").lower()) if not "\u0300" <= x <= "\u036f")
+        assert r["k"] == [w for w in re.split("[^a-z0-9_]+", plain) if 3 <= len(w) <= 23]
+
+
+def test_lexical_search_makes_no_row_for_each_pair(spark):
+    rng = random.Random(8)
+    said = lambda: " ".join(rng.choices(["word%d" % i for i in range(40)], k=12))
+    texts = [(i, said(), None) for i in range(300)] + [(i, "same words again and again", None) for i in range(300, 330)]
+    chunks = spark.createDataFrame(texts, "id long, text string, scope string")
+    queries = spark.createDataFrame([(i, said()) for i in range(20)] + [(20, "same words"), (21, "unheard"), (22, None)], "q long, text string")
+    found = retrieval.lexical_search(chunks, queries, "id", "q")
+    idf = retrieval.inverse_frequency(chunks, "id")
+    pairs = retrieval.weights(chunks, "id", idf).join(retrieval.weights(queries, "q", None).withColumnRenamed("w", "v"), "bucket").groupBy("q", "id").agg(F.round(F.sum(F.col("w") * F.col("v")), 12).alias("score"))
+    plain = lambda df: sorted((r["q"], r["rank"], r["id"], round(r["score"], 9)) for r in df.collect())
+    assert plain(found) == plain(retrieval.best(pairs, "q", "id", 4, 0.05))
+    assert [r["id"] for r in found.filter("q = 20").orderBy("rank").collect()] == [300, 301, 302, 303]
+    assert rows_made(found) <= 4_000  # of 7,590 pairs, each with several buckets in common
