@@ -9,10 +9,8 @@ import re
 from bisect import bisect_right
 from itertools import accumulate
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..session import written
@@ -82,11 +80,9 @@ def split_windows(text: str | None, size: int = 2000, overlap: int = 200) -> lis
 
 
 def windows(c: Column, size: int = 2000, overlap: int = 200) -> Column:
-    """An array of windows. Texts without a blank line, nearly all, never leave the JVM."""
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def along_paragraphs(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else split_windows(t, size, overlap))
-
+    """An array of windows. Texts without a blank line, nearly all, never leave the JVM; the others go to Python
+    some hundred at a time, as pages do."""
+    along_paragraphs = F.udf(lambda t: None if t is None else split_windows(t, size, overlap), "array<string>", useArrow=False)
     body = X.text(c)
     paragraphs = F.contains(body, F.lit("\n\n")) & (F.length(body) > size)
     return F.coalesce(along_paragraphs(F.when(paragraphs, body)), sliced(body, size, overlap))

@@ -2,13 +2,16 @@
 
 import random
 import re
+import resource
 import sys
 import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestrand.functions import text as X
-from lodestrand.operators import blend, qa, retrieval
+from lodestrand.functions.markdown import html_to_markdown
+from lodestrand.operators import blend, corpus, qa, retrieval
 
 
 def test_white_space_as_plain_regexes_have_it(spark):
@@ -86,3 +89,23 @@ def test_lexical_search_makes_no_row_for_each_pair(spark):
     assert plain(found) == plain(retrieval.best(pairs, "q", "id", 4, 0.05))
     assert [r["id"] for r in found.filter("q = 20").orderBy("rank").collect()] == [300, 301, 302, 303]
     assert rows_made(found) <= 4_000  # of 7,590 pairs, each with several buckets in common
+
+
+def python_mb(spark, name: str, df) -> float:
+    """The most that a Python worker of its own has held for a plan of one task."""
+    env = spark.sparkContext.environment
+    most = F.udf(lambda _: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024, "double", useArrow=False)
+    env["WORKER_OF"] = name  # workers are kept by their environment
+    try:
+        df().write.format("noop").mode("overwrite").save()
+        return spark.range(1).coalesce(1).select(most("id")).first()[0]
+    finally:
+        del env["WORKER_OF"]
+
+
+@pytest.mark.parametrize("step", [html_to_markdown, lambda c: corpus.windows(c, 1200, 150)], ids=["markdown", "windows"])
+def test_python_holds_no_more_of_a_larger_table(spark, step):
+    text = F.concat(F.lit("<p>"), F.repeat(F.concat(F.lit("word "), F.col("id").cast("string"), F.lit(" \n\n")), 2_000), F.lit("</p>"))
+    of = lambda n: lambda: spark.range(0, n, 1, 1).select(text.alias("text")).select(step(F.col("text")))
+    few, many = (python_mb(spark, f"{step} {n}", of(n)) for n in (200, 3_000))
+    assert many <= few + 25  # MB; the texts are 40
